@@ -68,7 +68,7 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = textkernel.utf8(batch.column("text"), lower=False)
         f1, f2, count = [], [], []
-        for i, j in textkernel.slices(off, 4 << 20):
+        for i, j in textkernel.slices(off, 1 << 19):
             _, length, hashed, at = chunk_ends(data[off[i] : off[j]], off[i : j + 1] - off[i])
             n = np.diff(at)
             place = (np.arange(len(hashed)) - np.repeat(at[:-1], n)).astype(np.uint64)
@@ -84,7 +84,7 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off = textkernel.utf8(batch.column("text"), lower=False)
-        for i, j in textkernel.slices(off, 4 << 20):
+        for i, j in textkernel.slices(off, 1 << 19):
             own = data[off[i] : off[j]]
             end, length, hashed, at = chunk_ends(own, off[i : j + 1] - off[i])
             row = np.repeat(np.arange(i, j), np.diff(at))
