@@ -3,17 +3,18 @@
 Each document is the set of its word 3-grams. A pair (a, b) with Jaccard similarity >= threshold shares at least
 T = ceil(2t/(1+t) * |a|) n-grams when |a| <= |b|, so b must occur in T of the inverted lists of a's n-grams. The search
 merges the short lists with a heap, probes the long ones by binary search, and keeps the documents that reach the
-overlap; overlaps are exact.
+overlap; overlaps are exact (n-grams are told apart by 48 bits of hash: two of a pair's are confused once in 10^9 pairs).
 
 Distribution: documents with equal sets collapse to one representative; 16 min-hash keys per set, of which at least
 MATCHED must also belong to another set, decide which sets can have a partner at all (a pair at the threshold is
 missed with probability 0.002); the first BUCKET_KEYS keys are the buckets in which the search runs, each distinct
-bucket once. Buckets of more than SPLIT sets are divided by a second key, in SECOND_KEYS alternatives, so that a passage
+bucket once. Before any n-gram moves, a pass over the keys alone finds the sets that agree with one other set of a bucket
+in MATCHED keys and share no smaller bucket with it; only these are sent to the bucket. Buckets of more than SPLIT sets are divided by a second key, in SECOND_KEYS alternatives, so that a passage
 which very many documents share does not gather them all in one task. The chance to miss a pair at similarity 0.5 is
 below 0.03 and falls quickly above it.
 
 Null doc_id or null text, and texts without a word, take no part. Repeated rows (same doc_id and set) count once; a
-document is never its own partner. Texts of fewer than 3 words have one n-gram, all their words. Other columns are
+document is never its own partner; one with several texts is paired by each of them. Texts of fewer than 3 words have one n-gram, all their words. Other columns are
 ignored. An empty table gives an empty result.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +35,17 @@ from lineloom.llm import shared, textkernel
 N, THRESHOLD = 3, 0.5
 KEYS, MATCHED, BUCKET_KEYS = 16, 3, 6
 SPLIT, SECOND_KEYS = 2000, 9
-MU = 0.0085
+MU, FAN, SMALL = 0.0085, 16, 24
 _A = textkernel.constants(11, KEYS)
 
 
 def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row of the batch, sorted distinct n-gram hashes) of every row that has a word."""
+    """(row of the batch, sorted distinct n-gram hashes of 48 bits) of every row that has a word."""
     data, off = textkernel.utf8(batch.column("text"))
     for i, j in textkernel.slices(off, 1 << 20):
         word, _, _, word_off = textkernel.words(data[off[i] : off[j]], off[i : j + 1] - off[i])
         gram, gram_off = textkernel.shingles(word, word_off, n)
+        gram >>= np.uint64(16)
         for k in range(j - i):
             own = gram[gram_off[k] : gram_off[k + 1]]
             if len(own):
@@ -54,6 +56,19 @@ def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield i + k, own[keep]
 
 
+def packed(own: np.ndarray) -> bytes:
+    """A set's hashes, six bytes each."""
+    return own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(raw) -> np.ndarray:
+    """The inverse of packed."""
+    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.reshape(-1).view("<u8")
+
+
 def _identity(own: np.ndarray) -> tuple[int, int]:
     return int(textkernel.splitmix(own).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(own * _A[0]).view(np.int64))
 
@@ -87,7 +102,7 @@ def _gram_rows(n: int):
                 rows.append(i)
                 h1.append(a)
                 h2.append(b)
-                grams.append(own.tobytes())
+                grams.append(packed(own))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(grams, pa.binary())], ["doc_id", "h1", "h2", "grams"])
 
     return run
@@ -123,27 +138,92 @@ def merge_lists(lists: list[list[int]], least: int) -> dict[int, int]:
     return found
 
 
-def divide_skip(lists: list[list[int]], need: int, mu: float = MU) -> dict[int, int]:
-    """Ids in at least `need` of the sorted lists, with exact counts: DivideSkip over short and long lists."""
+def merge_arrays(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """merge_lists for arrays: a heap gives the FAN shortest lists, whose merge goes back with the ids' counts."""
+    heap = [(len(x), k, x, np.ones(len(x), np.int64)) for k, x in enumerate(lists) if len(x)]
+    heapq.heapify(heap)
+    k = len(lists)
+    while len(heap) > 1:
+        some = [heapq.heappop(heap) for _ in range(min(FAN, len(heap)))]
+        x, w = np.concatenate([s[2] for s in some]), np.concatenate([s[3] for s in some])
+        by = np.argsort(x, kind="stable")
+        x, w = x[by], w[by]
+        first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+        k += 1
+        heapq.heappush(heap, (len(first), k, x[first], np.add.reduceat(w, first)))
+    if not heap:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, _, x, w = heap[0]
+    return x[w >= least], w[w >= least]
+
+
+def divide_skip(lists: list[np.ndarray], need: int, mu: float = MU) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, counts) of the ids in at least `need` of the sorted lists, counts exact: DivideSkip over short and long lists.
+
+    The short lists are merged with a heap, head by head where all lists are short and list by list else; what the merge
+    leaves is looked up in the long lists by binary search for as long as it can still reach the count.
+    """
+    lists = sorted((x for x in lists if len(x)), key=len)
     if len(lists) < need:
-        return {}
-    lists = sorted(lists, key=len)
-    long = min(need - 1, int(need / (mu * math.log2(max(2, len(lists[-1]))) + 1)))
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    most = len(lists[-1])
+    long = min(need - 1, int(need / (mu * math.log2(max(2, most)) + 1)))
     short, rest = lists[: len(lists) - long], lists[len(lists) - long :]
-    out = {}
-    for x, count in merge_lists(short, need - long).items():
-        for left, other in zip(range(len(rest), 0, -1), rest, strict=True):
-            if count + left < need:
-                break
-            at = bisect_left(other, x)
-            count += at < len(other) and other[at] == x
-        if count >= need:
-            out[x] = count
-    return out
-
-
-def join_sets(ids: np.ndarray, sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int, int, float]]:
-    """(i, j, overlap, jaccard), i and j being positions in sets, of all pairs at or above the threshold."""
+    if most <= SMALL:
+        out = {}
+        rest = [x.tolist() for x in rest]
+        for x, count in merge_lists([x.tolist() for x in short], need - long).items():
+            for left, other in zip(range(len(rest), 0, -1), rest, strict=True):
+                if count + left < need:
+                    break
+                at = bisect_left(other, x)
+                count += at < len(other) and other[at] == x
+            if count >= need:
+                out[x] = count
+        return np.array(list(out), np.int64), np.array(list(out.values()), np.int64)
+    ids, count = merge_arrays(short, need - long)
+    for left, other in zip(range(len(rest), 0, -1), rest, strict=True):
+        able = count + left >= need
+        if not able.all():
+            ids, count = ids[able], count[able]
+        if not len(ids):
+            break
+        at = np.minimum(np.searchsorted(other, ids), len(other) - 1)
+        count += other[at] == ids
+    return ids[count >= need], count[count >= need]
+
+
+def rivals(keys: np.ndarray, flat: np.ndarray, off: np.ndarray, own: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(member, later members) that can be similar and belong to no smaller bucket together, so each pair comes up once.
+
+    Similar sets agree in MATCHED of the KEYS keys at least. flat and off hold every member's buckets; own is this one.
+    """
+    keys = np.ascontiguousarray(keys.T)
+    member, less = np.repeat(np.arange(len(off) - 1), np.diff(off)), flat < own
+    _, number = np.unique(flat[less], return_inverse=True)
+    member = member[less]
+    by = np.argsort(number, kind="stable")
+    ends, start = np.searchsorted(number[by], np.arange(int(number.max(initial=-1)) + 2)), np.searchsorted(member, np.arange(len(off)))
+    with_bucket = member[by]
+    for q in range(keys.shape[1] - 1):
+        ok = (keys[:, q + 1 :] == keys[:, q : q + 1]).sum(0) >= MATCHED
+        for k in number[start[q] : start[q + 1]].tolist():
+            others = with_bucket[ends[k] : ends[k + 1]]
+            ok[others[others > q] - q - 1] = False
+        later = np.flatnonzero(ok) + q + 1
+        if len(later):
+            yield q, later
+
+
+def _every(n: int) -> Iterator[tuple[int, np.ndarray]]:
+    return ((q, np.arange(q + 1, n)) for q in range(n - 1))
+
+
+def join_sets(ids: np.ndarray, sets: list[np.ndarray], threshold: float, among=None) -> Iterator[tuple[int, int, int, float]]:
+    """(i, j, overlap, jaccard), i and j being positions in sets, of all pairs at or above the threshold.
+
+    among, if given, gets the positions in the order of size and gives the pairs to search, as rivals does.
+    """
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     order = np.lexsort((ids, size))
     size = size[order]
@@ -153,52 +233,61 @@ def join_sets(ids: np.ndarray, sets: list[np.ndarray], threshold: float) -> Iter
     grams, owner = grams[by], owner[by]
     first = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
     length = np.diff(np.append(first, len(grams)))
-    shared_owner = owner[np.repeat(length > 1, length)]
+    owner = owner[np.repeat(length > 1, length)]
     length = length[length > 1]
-    list_of = np.repeat(np.arange(len(length)), length)
     need = np.ceil(np.round(2 * threshold / (1 + threshold) * size, 9)).astype(np.int64)
-    able = np.bincount(shared_owner, minlength=len(order)) >= np.ceil(np.round(threshold * size, 9))
-    keep = able[shared_owner]
-    shared_owner, list_of = shared_owner[keep], list_of[keep]
-    if not len(list_of):
-        return
-    cuts = np.flatnonzero(np.diff(list_of)) + 1
-    lists = [x.tolist() for x in np.split(shared_owner, cuts)]
-    numbered = np.repeat(np.arange(len(lists)), np.diff(np.concatenate(([0], cuts, [len(list_of)]))))
-    by = np.argsort(shared_owner, kind="stable")
-    starts = np.searchsorted(shared_owner[by], np.arange(len(order) + 1))
-    numbered = numbered[by]
-    for q in np.flatnonzero(able):
-        own = numbered[starts[q] : starts[q + 1]]
-        if len(own) < need[q]:
+    able = np.bincount(owner, minlength=len(order)) >= np.ceil(np.round(threshold * size, 9))
+    end = np.repeat(np.cumsum(length), length)
+    place = np.argsort(owner, kind="stable")
+    starts = np.searchsorted(owner[place], np.arange(len(order) + 1))
+    wanted = np.zeros(len(order), bool)
+    for q, others in among(order) if among else _every(len(order)):
+        own = place[starts[q] : starts[q + 1]]
+        others = others[able[others] & (size[others] <= size[q] / threshold + 1e-9)] if able[q] and len(own) >= need[q] else others[:0]
+        if not len(others):
             continue
-        last = int(np.searchsorted(size, size[q] / threshold + 1e-9, side="right"))
-        after = []
-        for k in own.tolist():
-            x = lists[k]
-            a = bisect_right(x, q)
-            if a < len(x) and x[a] < last:
-                after.append(x[a:] if x[-1] < last else x[a : bisect_left(x, last)])
-        for c, n in divide_skip(after, int(need[q])).items():
-            jaccard = n / float(size[q] + size[c] - n)
+        wanted[others] = True
+        n = end[own] - own - 1
+        to = np.cumsum(n)
+        x = owner[np.repeat(own + 1 - to + n, n) + np.arange(to[-1])]
+        ok = wanted[x]
+        wanted[others] = False
+        x, to = x[ok], np.concatenate(([0], np.cumsum(ok)))[to].tolist()
+        for c, overlap in zip(*map(np.ndarray.tolist, divide_skip([x[i:j] for i, j in zip([0, *to], to, strict=False) if i < j], int(need[q]))), strict=True):
+            jaccard = overlap / float(size[q] + size[c] - overlap)
             if jaccard >= threshold:
-                yield int(order[q]), int(order[c]), n, jaccard
+                yield int(order[q]), int(order[c]), overlap, jaccard
+
+
+def _members(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, KEYS)
+    lists = table.column("buckets").combine_chunks()
+    return keys, lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))), table.column("bucket")[0].as_py()
+
+
+def _promising(table: pa.Table) -> pa.Table:
+    """The members of a bucket that may have a partner which no other bucket finds."""
+    keep = np.zeros(len(table), bool)
+    for q, others in rivals(*_members(table)):
+        keep[q] = keep[others] = True
+    return table.select(["doc_id", "h1", "h2", "bucket"]).filter(pa.array(keep))
 
 
 def _search(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        own_key = table.column("bucket")[0].as_py()
-        doc = table.column("doc_id").to_numpy()
-        with_keys = [set(x) for x in table.column("buckets").to_pylist()]
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams")]
-        a, b, n, jac = [], [], [], []
-        for i, j, overlap, jaccard in join_sets(doc, sets, threshold):
-            if doc[i] != doc[j] and own_key == min(with_keys[i] & with_keys[j]):  # a pair is reported in one bucket only
-                a.append(min(doc[i], doc[j]))
-                b.append(max(doc[i], doc[j]))
-                n.append(overlap)
-                jac.append(jaccard)
-        return pa.table({"doc_id_a": pa.array(a, pa.int64()), "doc_id_b": pa.array(b, pa.int64()), "overlap": pa.array(n, pa.int64()), "jaccard": pa.array(jac, pa.float64())})
+        doc, mark = table.column("doc_id").to_numpy(), table.column("h1").to_numpy()
+        keys, flat, off, own = _members(table)
+        sets = [unpacked(x.as_buffer()) for x in table.column("grams")]
+
+        def among(order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+            size = np.diff(off)[order]
+            to = np.concatenate(([0], np.cumsum(size)))
+            return rivals(keys[order], flat[np.repeat(off[order] - to[:-1], size) + np.arange(to[-1])], to, own)
+
+        found = list(join_sets(doc, sets, threshold, among))
+        i, j = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+        cols = {"rep_a": doc[i], "h_a": mark[i], "rep_b": doc[j], "h_b": mark[j]}
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in cols.items()} | {"overlap": pa.array([f[2] for f in found], pa.int64()), "jaccard": pa.array([f[3] for f in found], pa.float64())})
 
     return run
 
@@ -225,23 +314,44 @@ def _buckets(sets: DataFrame) -> DataFrame:
     return bucket.join(content, "bucket", "left_semi").distinct()
 
 
-def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id_a < doc_id_b, overlap, jaccard) of the near duplicates.
+def _copies_and_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(rep, h1, size, ids) of every set that several documents have, and the similar pairs of different sets.
 
-    Documents with the same n-gram set are one record: its least doc_id stands for them in all pairs, and each of the
-    others is paired with it at similarity 1. See the module's text for nulls, short texts and repeated rows.
+    A set is named by the least doc_id that has it, rep, and its hash h1.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     sketch = docs.mapInArrow(_sketch(n), "doc_id long, size int, h1 long, h2 long, keys array<long>")
     sketch = shared.cut(sketch.withColumn("rep", F.min("doc_id").over(Window.partitionBy("h1", "h2", "size"))))
-    same = sketch.where("doc_id <> rep").select(F.col("rep").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"), F.col("size").cast("long").alias("overlap"), F.lit(1.0).alias("jaccard")).distinct()
-    bucket = shared.cut(_buckets(sketch.where("doc_id = rep").dropDuplicates(["doc_id", "h1", "h2"])))
-    per_doc = bucket.groupBy("doc_id", "h1", "h2").agg(F.collect_set("bucket").alias("buckets"))
-    wanted = shared.cut(bucket.select("doc_id").distinct())
-    grams = shared.keep_ids(docs, wanted, "doc_id").mapInArrow(_gram_rows(n), "doc_id long, h1 long, h2 long, grams binary").dropDuplicates(["doc_id", "h1", "h2"])
-    filled = grams.join(per_doc, ["doc_id", "h1", "h2"]).select("doc_id", "grams", "buckets", F.explode("buckets").alias("bucket"))
-    found = filled.groupBy("bucket").applyInArrow(_search(threshold), "doc_id_a long, doc_id_b long, overlap long, jaccard double")
-    return found.union(same)
+    same = sketch.groupBy("rep", "h1", "h2", "size").agg(F.array_sort(F.collect_set("doc_id")).alias("ids")).where(F.size("ids") > 1).drop("h2")
+    rec = ["doc_id", "h1", "h2"]
+    alone = sketch.where("doc_id = rep").dropDuplicates(rec)
+    bucket = shared.cut(_buckets(alone))
+    known = shared.cut(bucket.groupBy(*rec).agg(F.collect_set("bucket").alias("buckets")).join(alone.select(*rec, "keys"), rec))
+    promising = known.select("*", F.explode("buckets").alias("bucket")).groupBy("bucket").applyInArrow(_promising, "doc_id long, h1 long, h2 long, bucket long")
+    sent = known.join(shared.cut(promising).groupBy(*rec).agg(F.collect_list("bucket").alias("to")), rec)
+    wanted = shared.cut(sent.select("doc_id").distinct())
+    grams = shared.keep_ids(docs, wanted, "doc_id").mapInArrow(_gram_rows(n), "doc_id long, h1 long, h2 long, grams binary").dropDuplicates(rec)
+    filled = grams.join(sent, rec).select("doc_id", "h1", "grams", "keys", "buckets", F.explode("to").alias("bucket"))
+    return same, filled.groupBy("bucket").applyInArrow(_search(threshold), "rep_a long, h_a long, rep_b long, h_b long, overlap long, jaccard double")
+
+
+def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id_a < doc_id_b, overlap, jaccard) of all pairs of near duplicates.
+
+    The search runs over different sets; each of its pairs then stands for the pairs of all documents that have the two
+    sets, and documents with the same set are paired at similarity 1. See the module's text for nulls, short texts and
+    repeated rows.
+    """
+    same, pairs = _copies_and_pairs(docs, n, threshold)
+    same = shared.cut(same)
+    equal = same.select(F.explode("ids").alias("doc_id_a"), "ids", F.col("size").cast("long").alias("overlap"))
+    equal = equal.select("doc_id_a", F.explode(F.filter("ids", lambda x: x > F.col("doc_id_a"))).alias("doc_id_b"), "overlap", F.lit(1.0).alias("jaccard"))
+    ids = lambda x: same.select(F.col("rep").alias(f"rep_{x}"), F.col("h1").alias(f"h_{x}"), F.col("ids").alias(f"ids_{x}"))
+    small = shared.small_enough(same.count()) and shared.small_enough(same.agg(F.sum(F.size("ids"))).first()[0] or 0, 8)
+    side = lambda x: F.broadcast(ids(x)) if small else ids(x)
+    each = pairs.join(side("a"), ["rep_a", "h_a"], "left").join(side("b"), ["rep_b", "h_b"], "left")
+    each = each.select(F.explode(F.coalesce("ids_a", F.array("rep_a"))).alias("x"), F.coalesce("ids_b", F.array("rep_b")).alias("ids_b"), "overlap", "jaccard").select("x", F.explode("ids_b").alias("y"), "overlap", "jaccard").where("x <> y")
+    return each.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "overlap", "jaccard").union(equal)
 
 
 def near_duplicates_removed(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -249,8 +359,9 @@ def near_duplicates_removed(docs: DataFrame, n: int = N, threshold: float = THRE
 
     Columns stay as they are. Rows with a null doc_id or text are kept.
     """
-    pairs = shared.cut(jaccard_pairs(docs, n, threshold).select("doc_id_a", "doc_id_b"))
-    gone = shared.components(pairs, "doc_id_a", "doc_id_b").where("node <> root").select(F.col("node").alias("doc_id"))
+    same, pairs = _copies_and_pairs(docs, n, threshold)
+    links = same.select("rep", F.explode("ids").alias("other")).union(pairs.select("rep_a", "rep_b")).where("rep <> other")
+    gone = shared.components(shared.cut(links), "rep", "other").where("node <> root").select(F.col("node").alias("doc_id"))
     return shared.drop_ids(docs, shared.cut(gone), "doc_id")
 
 
