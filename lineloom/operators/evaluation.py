@@ -11,10 +11,10 @@ RATIO = lambda a, b: F.round(F.try_divide(a, b), 6)
 
 
 def pair_up(gt: DataFrame, out: DataFrame, on: list[str]) -> DataFrame:
-    """gt with the output's text beside it: (on..., gt, pred, missing); no output counts as the empty text."""
+    """gt with the output's text beside it: its columns, gt, pred and missing; no output counts as the empty text."""
     joined = gt.withColumnRenamed("text", "gt").join(out.withColumnRenamed("text", "pred"), on, "left")
     missing = F.when(F.col("pred").isNull(), F.length("gt")).otherwise(0)
-    return joined.select(*on, "gt", F.coalesce("pred", F.lit("")).alias("pred"), missing.cast("long").alias("missing"))
+    return joined.select(*[c for c in joined.columns if c not in ("gt", "pred")], "gt", F.coalesce("pred", F.lit("")).alias("pred"), missing.cast("long").alias("missing"))
 
 
 def distances(pairs: DataFrame, kind: str = "exact", compose: bool = True) -> DataFrame:

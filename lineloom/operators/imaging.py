@@ -105,8 +105,9 @@ def rotated(a: np.ndarray, degrees: float) -> np.ndarray:
 
 
 def skew(a: np.ndarray, most: float = 2.0, steps: int = 8) -> float:
-    """The angle at which the means of the rows vary most."""
+    """The angle at which the means of the rows vary most; of equals the least turn."""
     angles = np.linspace(-most, most, int(2 * most * steps) + 1)
+    angles = angles[np.argsort(np.abs(angles), kind="stable")]
     return float(angles[np.argmax([rotated(a, t).mean(1).var() for t in angles])])
 
 

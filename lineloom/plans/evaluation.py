@@ -27,7 +27,7 @@ def char_error_rate_by_lang(spark, sf):
     return ev.error_rates(p, ["lang"]).select("lang", "err", "total", "error_rate")
 
 
-PARTS_SQL = "SELECT p_partkey AS file, p_brand AS brand, p_name AS gt, coalesce(s_name, '') AS pred, CASE WHEN s_name IS NULL THEN length(p_name) ELSE 0 END AS missing FROM part LEFT JOIN supplier ON p_partkey = s_suppkey"
+PARTS_SQL = "SELECT p_partkey AS file, p_brand AS brand, p_name AS gt, replace(coalesce(s_name, ''), '#', '') AS pred, CASE WHEN s_name IS NULL THEN length(p_name) ELSE 0 END AS missing FROM part LEFT JOIN supplier ON p_partkey = s_suppkey"
 
 
 def _parts(spark, sf):

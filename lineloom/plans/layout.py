@@ -42,7 +42,7 @@ def rect_overlaps(spark, sf):
 
 
 @query(
-    f"WITH b AS ({BOXES_SQL}), p AS (SELECT u.page_no, u.line_id AS u, v.line_id AS v, u.x0 < v.x1 AND u.x1 > v.x0 AS over, u.y0 AS uy0, v.y0 AS vy0, u.x0 AS ux0, u.x1 AS ux1, v.x0 AS vx0, v.x1 AS vx1 FROM b u JOIN b v ON u.page_no = v.page_no) SELECT page_no, u, v FROM p WHERE over AND uy0 < vy0 UNION ALL SELECT page_no, u, v FROM p WHERE NOT over AND ux1 < vx0 AND NOT EXISTS (SELECT 1 FROM b w WHERE w.page_no = p.page_no AND w.y1 >= least(uy0, vy0) AND w.y0 <= greatest(uy0, vy0) AND w.x0 < ux1 AND w.x1 > vx0)"
+    f"WITH b AS ({BOXES_SQL}), p AS (SELECT u.page_no, u.line_id AS u, v.line_id AS v, u.x0 < v.x1 AND u.x1 > v.x0 AS over, u.y0 AS uy0, v.y0 AS vy0, u.y1 AS uy1, v.y1 AS vy1, u.x0 AS ux0, u.x1 AS ux1, v.x0 AS vx0, v.x1 AS vx1 FROM b u JOIN b v ON u.page_no = v.page_no) SELECT page_no, u, v FROM p WHERE over AND uy0 < vy0 UNION ALL SELECT page_no, u, v FROM p WHERE NOT over AND ux1 < vx0 AND NOT EXISTS (SELECT 1 FROM b w WHERE w.page_no = p.page_no AND w.y1 >= least(uy0, vy0) AND w.y0 <= greatest(uy1, vy1) AND w.x0 < ux1 AND w.x1 > vx0)"
 )
 def reading_order_pairs(spark, sf):
     return layout.reading_order(_boxes(spark, sf))

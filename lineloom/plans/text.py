@@ -121,7 +121,7 @@ def codec_build(spark, sf):
 
 @query("SELECT DISTINCT ch, unicode(ch) AS packed FROM (" + CHARS_SQL + ") WHERE unicode(ch) < 65536")
 def class_pack(spark, sf):
-    ch = _chars(spark, sf).distinct().where(F.ascii("ch") < 65536)
+    ch = _chars(spark, sf).select("ch").distinct().where(F.ascii("ch") < 65536)
     return ch.select("ch", text.pack4(F.col("ch")).alias("packed")).select(text.unpack4(F.col("packed")).alias("ch"), "packed")
 
 
