@@ -89,16 +89,18 @@ class WarcReader:
         self.raw, self.base = self.raw[n:], self.base + n
 
     def _member(self) -> Iterator[bytes]:
-        """Decompressed pieces of the member at hand; what follows it stays in raw."""
-        z = zlib.decompressobj(31)
+        """Decompressed pieces of the member at hand; what follows it stays in raw. A damaged one is put back whole."""
+        z, start, taken = zlib.decompressobj(31), self.base, []
         while not z.eof:
             if not self.raw and not self._more():
+                self.raw, self.base = b"".join(taken), start
                 raise EOFError("the file ends inside a member")
             given, self.raw = self.raw, b""
+            taken.append(given)
             try:
                 out = z.decompress(given)
             except zlib.error:
-                self.raw = given
+                self.raw, self.base = b"".join(taken), start
                 raise
             self.raw = z.unused_data
             self.base += len(given) - len(self.raw)
@@ -112,8 +114,7 @@ class WarcReader:
             yield out
 
     def _seek_member(self) -> None:
-        """Past the next byte and on to what looks like a gzip header, or the end."""
-        self._drop(1)
+        """On to what looks like a gzip header, or the end."""
         while True:
             at = self.raw.find(b"\x1f\x8b\x08")
             if at >= 0:
@@ -135,6 +136,7 @@ class WarcReader:
             except (zlib.error, EOFError, ValueError) as e:
                 yield {"record_offset": start, "error": f"{type(e).__name__}: {e}"}
                 if gz:
+                    self._drop(int(self.base == start))
                     self._seek_member()
                 else:
                     return

@@ -49,6 +49,7 @@ TABLE = (
     (11, 0, 29, 0, 10, 0, 1), (29, 0, 10, 0, 14, 0, 1), (10, 0, 14, 0, 0, 0, 0), (1, 100, 11, 0, 5, 0, 0), (11, 0, 5, 0, 5, 0, 1), (5, 0, 5, 0, 30, 0, 1), (5, 0, 30, 0, 31, 0, 1), (30, 0, 31, 0, 31, 0, 1),
     (31, 0, 31, 0, 31, 0, 1), (31, 0, 31, 0, 31, 0, 1), (31, 0, 31, 0, 1, 0, 1), (31, 0, 1, 0, 9, 0, 1), (1, 0, 9, 0, 12, 0, 1), (9, 0, 12, 0, 0, 0, 0), (0, 0, 2, 100, 3, 100, 0), (3, 100, 2, 100, 2, 100, 0),
     (2, 100, 4, 80, 60, 0, 0), (80, 0, 5, 100, 4, 100, 0), (60, 0, 3, 100, 0, 0, 0), (120, 2, 90, 4, 70, 0, 1), (45, 0, 110, 3, 95, 5, 1), (70, 1, 40, 0, 6, 100, 1), (95, 0, 150, 2, 0, 0, 1), (6, 0, 80, 0, 90, 1, 1),
+    (1, 100, 72, 0, 0, 0, 1), (0, 0, 90, 0, 0, 0, 1), (40, 0, 120, 2, 0, 0, 1), (2, 100, 85, 1, 0, 0, 1), (30, 0, 65, 0, 0, 0, 1), (0, 0, 80, 0, 60, 0, 1), (0, 0, 150, 3, 1, 100, 1),
 )
 
 
