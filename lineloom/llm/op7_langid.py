@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from lineloom.llm import shared, textkernel
 
 TRAIN_DOCS, TRAIN_CHARS, WINDOW, MAX_BITS = 60, 40_000, 4096, 4.5
+SLICE = 3 << 20
 _SPACE, _OTHER, _PLANE = 0, 1, 0x3000
 
 
@@ -76,7 +77,8 @@ def letters(texts: dict[str, str]) -> np.ndarray:
 def encode(data: np.ndarray, off: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of lower-cased UTF-8 rows, runs of non-letters made one space and none leading; the rows' offsets."""
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-    lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    lead = np.zeros(len(data) + 1, np.int32)
+    np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
     at = lead[off]
     c = code[np.minimum(points, _PLANE - 1)]
     c[points >= _PLANE] = _OTHER
@@ -134,7 +136,7 @@ class Model:
         """(language or null, bits per character or nan, accepted) of each text."""
         data, off = textkernel.utf8(column)
         best, bits = np.zeros(len(off) - 1, np.int64), np.full(len(off) - 1, np.nan)
-        for i, j in textkernel.slices(off, 8 << 20):
+        for i, j in textkernel.slices(off, SLICE):
             symbols, at = encode(data[off[i] : off[j]], off[i : j + 1] - off[i], self.code)
             size = np.diff(at)
             if self.langs and len(symbols):
