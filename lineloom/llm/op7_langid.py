@@ -3,10 +3,15 @@
 A suffix automaton of each language's labelled text answers "how far does the text at hand run on in that language's
 text". A document is parsed into phrases, each the longest match found in the training text; the number of phrases
 times log2(training length) over the length estimates the cross entropy in bits per character, and the language with
-the least wins. A document nearest to no language (more than MAX_BITS), or without a letter, is rejected.
+the least wins. A document nearest to no language, or without a letter, is rejected: one of more than MAX_BITS that also
+has more phrases than language text of its length. Those are counted in each half of the training text, parsed by the
+other half in pieces of LENGTHS letters; a text may have MARGIN times what all but 5 % of its language's pieces have, and
+two phrases more, lengths between and beyond in proportion. A short text so isn't rejected for the bits of its few phrases;
+of a few letters nearly any text is kept.
 
-Texts are lower-cased and every run of non-letters becomes one space. They are parsed whole, in pieces of WINDOW
-characters whose ends also end a phrase, so that numpy can step through thousands of pieces at once.
+Texts are lower-cased, tokens of ASCII letters and digits that have a digit (numbers, codes, keys) are left out, and every
+run of non-letters becomes one space. They are parsed whole, in pieces of WINDOW characters whose ends also end a phrase,
+so that numpy can step through thousands of pieces at once.
 
 Training reads a bounded sample of labelled rows: per language at most TRAIN_DOCS documents, the first in the order of
 a hash of doc_id, and of these whole documents of up to TRAIN_CHARS characters together. All documents are classified.
@@ -31,7 +36,11 @@ from lineloom.llm import shared, textkernel
 
 TRAIN_DOCS, TRAIN_CHARS, WINDOW, MAX_BITS = 60, 40_000, 4096, 4.5
 SLICE = 3 << 20
+LENGTHS, MARGIN = tuple(1 << k for k in range(10)), 1.3
 _SPACE, _OTHER, _PLANE = 0, 1, 0x3000
+_DIGIT, _TOKEN = np.zeros(256, bool), np.zeros(256, bool)
+_DIGIT[[*b"0123456789"]] = True
+_TOKEN[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = True
 
 
 class SuffixAutomaton:
@@ -74,8 +83,46 @@ def letters(texts: dict[str, str]) -> np.ndarray:
     return code
 
 
+def without_codes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """UTF-8 rows with the tokens of ASCII letters and digits that have a digit made spaces."""
+    digit = np.flatnonzero(_DIGIT[data])
+    if not len(digit):
+        return data
+    solid = _TOKEN[data]
+    begin, end = solid.copy(), solid.copy()
+    begin[1:] &= ~solid[:-1]
+    end[:-1] &= ~solid[1:]
+    edge = off[1:-1]
+    edge = edge[(edge > 0) & (edge < len(data))]
+    begin[edge], end[edge - 1] = solid[edge], solid[edge - 1]
+    s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    token = np.unique(np.searchsorted(s, digit, side="right") - 1)
+    step = np.zeros(len(data) + 1, np.int8)
+    step[s[token]] += 1
+    step[e[token]] -= 1
+    return np.where(np.cumsum(step[:-1], dtype=np.int8) > 0, np.uint8(32), data)
+
+
+def held_out(symbols: list[int]) -> np.ndarray:
+    """Phrases that all but 5 % of the pieces of LENGTHS symbols have at most, each half parsed by the other."""
+    half, counts = len(symbols) // 2, [[1] for _ in LENGTHS]
+    for known, rest in ((symbols[:half], symbols[half:]), (symbols[half:], symbols[:half])):
+        auto = SuffixAutomaton(known).next
+        for size, count in zip(LENGTHS, counts, strict=True):
+            for at in range(0, len(rest) - size + 1, size):
+                state, n = 0, 0
+                for c in rest[at : at + size]:
+                    to = auto[state].get(c) if state else None
+                    if to is None:
+                        to, n = auto[0].get(c, 0), n + 1
+                    state = to
+                count.append(n)
+    return np.maximum.accumulate([np.quantile(count, 0.95, method="higher") for count in counts])
+
+
 def encode(data: np.ndarray, off: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of lower-cased UTF-8 rows, runs of non-letters made one space and none leading; the rows' offsets."""
+    data = without_codes(data, off)
     points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.zeros(len(data) + 1, np.int32)
     np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
@@ -96,7 +143,7 @@ class Model:
     def __init__(self, texts: dict[str, str], window: int = WINDOW):
         self.langs, self.window, self.code = sorted(texts), window, letters(texts)
         self.width = int(self.code.max(initial=1)) + 1
-        self.bits, self.tables = [], []
+        self.bits, self.tables, self.usual = [], [], []
         for lang in self.langs:
             raw = np.frombuffer(texts[lang].lower().encode(), np.uint8)
             symbols = encode(raw, np.array([0, len(raw)]), self.code)[0].tolist()
@@ -110,6 +157,7 @@ class Model:
             table[0] = restart
             self.tables.append(table.astype(np.uint32).reshape(-1))
             self.bits.append(math.log2(max(2, len(symbols))))
+            self.usual.append(held_out(symbols))
 
     def phrases(self, symbols: np.ndarray, off: np.ndarray) -> np.ndarray:
         """(languages, rows): phrases of each row in each language's parse."""
@@ -132,10 +180,19 @@ class Model:
                 s[:a] = v & np.uint32(0x7FFFFFFF)
         return np.stack([np.bincount(row, weights=n, minlength=len(size)) for n in count]) if self.langs else np.zeros((0, len(size)))
 
+    def limit(self, best: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Bits per character that text of these sizes has at most in the language at hand."""
+        out = np.zeros(len(size))
+        for k, (bits, usual) in enumerate(zip(self.bits, self.usual, strict=True)):
+            own = (best == k) & (size > 0)
+            phrases = np.interp(size[own], LENGTHS, usual) * np.maximum(1, size[own] / LENGTHS[-1])
+            out[own] = (MARGIN * phrases + 2) * bits / size[own]
+        return out
+
     def classify(self, column: pa.Array, max_bits: float = MAX_BITS) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """(language or null, bits per character or nan, accepted) of each text."""
         data, off = textkernel.utf8(column)
-        best, bits = np.zeros(len(off) - 1, np.int64), np.full(len(off) - 1, np.nan)
+        best, bits, most = np.zeros(len(off) - 1, np.int64), np.full(len(off) - 1, np.nan), np.full(len(off) - 1, max_bits)
         for i, j in textkernel.slices(off, SLICE):
             symbols, at = encode(data[off[i] : off[j]], off[i : j + 1] - off[i], self.code)
             size = np.diff(at)
@@ -143,9 +200,10 @@ class Model:
                 rate = self.phrases(symbols, at) * np.array(self.bits)[:, None] / np.maximum(size, 1)
                 best[i:j] = rate.argmin(0)
                 bits[i:j] = np.where(size > 0, rate.min(0), np.nan)
+                most[i:j] = np.maximum(max_bits, self.limit(best[i:j], size) + 1e-9)
         none = np.isnan(bits)
         names = pa.array(self.langs, pa.string()).take(pa.array(best, mask=none)) if self.langs else pa.nulls(len(best), pa.string())
-        return names, bits, ~none & (np.nan_to_num(bits, nan=np.inf) <= max_bits)
+        return names, bits, ~none & (np.nan_to_num(bits, nan=np.inf) <= most)
 
 
 _models: dict[int, Model] = {}

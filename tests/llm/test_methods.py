@@ -74,6 +74,20 @@ def test_cross_parsing_held_out(docs):
     assert len(rest) > 40 and np.mean(right) > 0.95 and np.mean(ok) > 0.95
 
 
+def test_short_clean_documents_stay(docs):
+    texts: dict[str, str] = {}
+    for t, lang in zip(docs["text"], docs["lang"], strict=True):
+        if lang and len(texts.get(lang, "")) < 30_000:
+            texts[lang] = texts.get(lang, "") + t[:10_000] + "\n"
+    model = op7_langid.Model(texts)
+    word = next(w for w in texts["en"].split() if w.isalpha() and len(w) > 5)
+    short = ["A.", "Re.", "De.", f"{word} sh.", f'token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde" {word} {word}.']
+    assert model.classify(pa.array(short))[2].all()
+    rng = random.Random(4)
+    junk = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60)) for _ in range(50)] + ["9f3a 77be1 0c4"]
+    assert not model.classify(pa.array(junk))[2].any()
+
+
 def test_phrases_against_brute_force():
     train = "abcabcaabbcc"
     model = op7_langid.Model({"x": train})
