@@ -14,7 +14,9 @@ run of non-letters becomes one space. They are parsed whole, in pieces of WINDOW
 so that numpy can step through thousands of pieces at once.
 
 Training reads a bounded sample of labelled rows: per language at most TRAIN_DOCS documents, the first in the order of
-a hash of doc_id, and of these whole documents of up to TRAIN_CHARS characters together. All documents are classified.
+a hash of doc_id among those of under TRAIN_CHARS characters, and of these whole documents of up to TRAIN_CHARS characters
+together; a language with longer ones only is trained on the beginning of one. All documents are classified. Every letter
+of the training texts is a symbol of its own; tables of over DENSE entries (large alphabets) are kept as hash tables.
 
 Null or empty text, or one without letters: language null, bits null, rejected. Rows with a null lang take no part in
 training. Repeated rows are classified one by one. Ties go to the first language by name. No labelled row at all: every
@@ -37,7 +39,9 @@ from lineloom.llm import shared, textkernel
 TRAIN_DOCS, TRAIN_CHARS, WINDOW, MAX_BITS = 60, 40_000, 4096, 4.5
 SLICE = 3 << 20
 LENGTHS, MARGIN = tuple(1 << k for k in range(10)), 1.3
-_SPACE, _OTHER, _PLANE = 0, 1, 0x3000
+DENSE = 8 << 20
+_SPACE, _OTHER, _BEGINS = 0, 1, 1 << 31  # bit 31: a phrase begins here
+_LETTER = np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)), bool, 0x110000)
 _DIGIT, _TOKEN = np.zeros(256, bool), np.zeros(256, bool)
 _DIGIT[[*b"0123456789"]] = True
 _TOKEN[[*b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"]] = True
@@ -75,11 +79,10 @@ class SuffixAutomaton:
 
 
 def letters(texts: dict[str, str]) -> np.ndarray:
-    """Code of every code point below _PLANE: 0 no letter, 1 a letter that no training text has, else its own."""
-    code = np.fromiter((_OTHER if unicodedata.category(chr(i))[0] in "LM" else _SPACE for i in range(_PLANE)), np.uint8, _PLANE)
-    known = sorted({c for t in texts.values() for c in t.lower() if ord(c) < _PLANE and code[ord(c)]})[:250]
-    for i, c in enumerate(known):
-        code[ord(c)] = i + 2
+    """Code of every code point: 0 no letter, 1 a letter that no training text has, else its own."""
+    known = sorted({ord(c) for t in texts.values() for c in t.lower() if _LETTER[ord(c)]})
+    code = _LETTER.astype(np.uint8 if len(known) < 255 else np.uint16 if len(known) < 65535 else np.uint32)
+    code[known] = np.arange(2, len(known) + 2)
     return code
 
 
@@ -127,8 +130,7 @@ def encode(data: np.ndarray, off: np.ndarray, code: np.ndarray) -> tuple[np.ndar
     lead = np.zeros(len(data) + 1, np.int32)
     np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
     at = lead[off]
-    c = code[np.minimum(points, _PLANE - 1)]
-    c[points >= _PLANE] = _OTHER
+    c = code[points]
     before = np.empty_like(c)
     before[:1] = _SPACE
     before[1:] = c[:-1]
@@ -137,25 +139,78 @@ def encode(data: np.ndarray, off: np.ndarray, code: np.ndarray) -> tuple[np.ndar
     return c[keep], np.concatenate(([0], np.cumsum(keep)))[at]
 
 
+class Dense:
+    """A language's transitions as a table of states by letters."""
+
+    def __init__(self, auto: list[dict[int, int]], width: int):
+        table = np.full((len(auto), width), -1, np.int64)
+        for s, to in enumerate(auto):
+            for c, t in to.items():
+                table[s, c] = t * width
+        restart = np.where(table[0] >= 0, table[0], 0) | _BEGINS
+        table = np.where(table >= 0, table, restart[None, :])
+        table[0] = restart
+        self.table = table.astype(np.uint32).reshape(-1)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The states after these letters, with _BEGINS where a phrase begins."""
+        return self.table[state + c]
+
+
+class Sparse:
+    """The same for a large alphabet: a hash table of the transitions there are, with linear probing."""
+
+    def __init__(self, auto: list[dict[int, int]], width: int):
+        rows = [(s * width + c, t) for s, to in enumerate(auto) if s for c, t in to.items()]
+        key, to = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        self.shift = np.uint64(64 - max(4, (4 * len(rows)).bit_length()))
+        self.mask = (1 << (64 - int(self.shift))) - 1
+        self.key, self.to = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int64)
+        at, left = self._at(key), np.arange(len(key))
+        while len(left):
+            free = left[self.key[at[left]] < 0]
+            self.key[at[free]] = key[free]  # of several at one place the last stays
+            own = self.key[at[left]] == key[left]
+            self.to[at[left[own]]] = to[left[own]]
+            left = left[~own]
+            at[left] = (at[left] + 1) & self.mask
+        self.restart = np.full(width, _BEGINS, np.int64)
+        for c, t in auto[0].items():
+            self.restart[c] |= t
+        self.width = width
+
+    def _at(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.width + c
+        at, out = self._at(key), self.restart[c]
+        left = np.flatnonzero(state)  # the root begins a phrase anyway
+        while len(left):
+            found = self.key[at[left]]
+            hit = found == key[left]
+            out[left[hit]] = self.to[at[left[hit]]]
+            left = left[~hit & (found >= 0)]
+            at[left] = (at[left] + 1) & self.mask
+        return out.astype(np.uint32)
+
+
 class Model:
-    """Cross-parsing tables of every language."""
+    """Cross-parsing tables of every language, each over the letters of its own training text."""
 
-    def __init__(self, texts: dict[str, str], window: int = WINDOW):
+    def __init__(self, texts: dict[str, str], window: int = WINDOW, dense: int = DENSE):
         self.langs, self.window, self.code = sorted(texts), window, letters(texts)
-        self.width = int(self.code.max(initial=1)) + 1
-        self.bits, self.tables, self.usual = [], [], []
+        self.bits, self.tables, self.usual, self.own = [], [], [], []
         for lang in self.langs:
             raw = np.frombuffer(texts[lang].lower().encode(), np.uint8)
             symbols = encode(raw, np.array([0, len(raw)]), self.code)[0].tolist()
-            auto = SuffixAutomaton(symbols)
-            table = np.full((len(auto.next), self.width), -1, np.int64)
-            for s, to in enumerate(auto.next):
-                for c, t in to.items():
-                    table[s, c] = t * self.width
-            restart = np.where(table[0] >= 0, table[0], 0) | (1 << 31)  # bit 31: a phrase begins here
-            table = np.where(table >= 0, table, restart[None, :])
-            table[0] = restart
-            self.tables.append(table.astype(np.uint32).reshape(-1))
+            own = np.ones(int(self.code.max()) + 1, self.code.dtype)  # codes within the language; its unknown letters are 1
+            used = np.unique(np.array([_SPACE, _OTHER, *symbols]))
+            own[used] = np.arange(len(used))
+            symbols = own[symbols].tolist()
+            auto = SuffixAutomaton(symbols).next
+            self.own.append(own)
+            self.tables.append((Dense if len(auto) * len(used) <= dense else Sparse)(auto, len(used)))
             self.bits.append(math.log2(max(2, len(symbols))))
             self.usual.append(held_out(symbols))
 
@@ -173,9 +228,9 @@ class Model:
         state = [np.zeros(len(row), np.uint32) for _ in self.langs]
         count = [np.zeros(len(row), np.int32) for _ in self.langs]
         for t, a in enumerate(lanes):
-            c = symbols[start[:a] + t].astype(np.uint32)
-            for s, n, table in zip(state, count, self.tables, strict=True):
-                v = table[s[:a] + c]
+            c = symbols[start[:a] + t]
+            for s, n, table, own in zip(state, count, self.tables, self.own, strict=True):
+                v = table.step(s[:a], own[c].astype(np.uint32))
                 n[:a] += (v >> np.uint32(31)).view(np.int32)
                 s[:a] = v & np.uint32(0x7FFFFFFF)
         return np.stack([np.bincount(row, weights=n, minlength=len(size)) for n in count]) if self.langs else np.zeros((0, len(size)))
@@ -220,15 +275,17 @@ def _model(texts: dict[str, str], window: int) -> Model:
 
 def training_texts(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> dict[str, str]:
     """Bounded labelled text by language, of whole documents."""
-    labelled = labelled.where("lang is not null and text is not null and doc_id is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = shared.cut(labelled.select("lang", "doc_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang))
-    rows = labelled.select("lang", "doc_id", "text").join(F.broadcast(chosen), ["lang", "doc_id"]).where(F.length("text") <= chars).orderBy("lang", "k", "text").collect()
+    labelled = labelled.where("lang is not null and text is not null and doc_id is not null").withColumn("long", F.length("text") >= chars)
+    order = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id")
+    chosen = shared.cut(labelled.select("lang", "doc_id", "long").withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang))
+    rows = labelled.select("lang", "doc_id", "long", F.substring("text", 1, chars).alias("text")).join(F.broadcast(chosen), ["lang", "doc_id", "long"]).orderBy("lang", "k", "text").collect()
     texts: dict[str, str] = {}
     for r in rows:
         have = texts.get(r["lang"], "")
         if len(have) + len(r["text"]) < chars:
             texts[r["lang"]] = have + r["text"] + "\n"
+        elif not any(_LETTER[ord(c)] for c in have):
+            texts[r["lang"]] = r["text"]
     return texts
 
 

@@ -88,6 +88,31 @@ def test_short_clean_documents_stay(docs):
     assert not model.classify(pa.array(junk))[2].any()
 
 
+def test_every_letter_is_a_symbol():
+    rng = random.Random(6)
+    alphabets = {"zh": range(0x4E00, 0x5200), "ko": range(0xAC00, 0xAF00), "ext": range(0x20000, 0x20200), "el": range(0x3B1, 0x3C8)}
+    vocabulary = {lang: ["".join(map(chr, rng.choices(a, k=rng.randint(1, 3)))) for _ in range(150)] for lang, a in alphabets.items()}
+    text = {lang: lambda n, v=v: "".join(rng.choices(v, k=n)) for lang, v in vocabulary.items()}
+    train = {lang: f(1500) for lang, f in text.items()}
+    held = [(lang, f(60)) for lang, f in text.items() for _ in range(5)]
+    columns = pa.array([t for _, t in held])
+    dense, sparse = op7_langid.Model(train, dense=1 << 40), op7_langid.Model(train, dense=0)
+    names, bits, ok = dense.classify(columns)
+    assert names.to_pylist() == [lang for lang, _ in held] and ok.all()
+    again = sparse.classify(columns)
+    assert again[0].equals(names) and (again[1] == bits).all() and (again[2] == ok).all()
+    for lang in ("zh", "ko"):  # other letters of the same kind are not the language
+        other = pa.array(["".join(chr(alphabets[lang].stop + rng.randrange(500)) for _ in range(200))])
+        assert not dense.classify(other)[2].any()
+
+
+def test_language_of_long_documents_is_trained(spark):
+    rows = [(i, "lorem ipsum dolor " * 4000, "la") for i in range(80)] + [(200 + i, "short text here", "en") for i in range(3)] + [(300 + i, "x y " * 20000, "en") for i in range(80)]
+    texts = op7_langid.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert texts["la"].startswith("lorem ipsum") and len(texts["la"]) <= op7_langid.TRAIN_CHARS
+    assert texts["en"] == "short text here\n" * 3
+
+
 def test_phrases_against_brute_force():
     train = "abcabcaabbcc"
     model = op7_langid.Model({"x": train})
