@@ -162,6 +162,23 @@ def test_entities_planted_and_consistent(spark):
     assert any(k[:2] == (1, "phone") for k in got) and not any(k[0] == 2 for k in got)
 
 
+def test_cue_reaches_fifty_mentions():
+    for stay in (2.0, 6.0):
+        unary, pair = np.zeros((50, 3)), np.zeros((3, 3, 3))
+        unary[0, 1], unary[:, 0], pair[1] = 30, 0.001, stay * np.eye(3)
+        node, both = op5_pii.beliefs(unary, np.array([(i, i + 1, 1) for i in range(49)]), pair)
+        right = [np.ones(3)]
+        left = [np.ones(3)]
+        for i in range(49):  # the exact marginals of a chain
+            right.append(np.exp(pair[1]).T @ (right[-1] * np.exp(unary[i])))
+            left.append(np.exp(pair[1]) @ (left[-1] * np.exp(unary[49 - i])))
+            right[-1], left[-1] = right[-1] / right[-1].sum(), left[-1] / left[-1].sum()
+        exact = np.array([right[i] * np.exp(unary[i]) * left[49 - i] for i in range(50)])
+        exact /= exact.sum(1, keepdims=True)
+        assert np.abs(node - exact).max() < 0.01 and np.abs(both.sum(2) - node[:-1]).max() < 0.01
+    assert node.argmax(1).tolist() == [1] * 50
+
+
 def test_pipeline_against_stages(spark):
     """run() equals its stages applied one after the other, each held to what it must keep."""
     import corpus_pipeline as cp
