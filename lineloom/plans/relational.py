@@ -159,6 +159,24 @@ def numeric_aware_sort(spark, sf):
     return _table(spark, sf, "part").orderBy(F.regexp_extract("p_brand", "([0-9]+)$", 1).try_cast("int").asc_nulls_last(), "p_partkey").select("p_partkey", "p_brand").limit(50)
 
 
+def numeric_ranks(df, column: str, tie: str):
+    """All rows with rank: 1 for the first by the number that ends the column, then by tie; those without a number go last.
+
+    Ranks are made within each number and moved by the count of the rows before; one task orders the distinct numbers only.
+    """
+    keyed = df.withColumn("number", F.regexp_extract(column, "([0-9]+)$", 1).try_cast("decimal(38,0)"))
+    before = keyed.groupBy("number").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy(F.col("number").asc_nulls_last())) - F.col("n"))
+    ranked = keyed.withColumn("k", F.row_number().over(Window.partitionBy("number").orderBy(tie))).alias("r")
+    joined = ranked.join(before.alias("b"), F.col("r.number").eqNullSafe(F.col("b.number")))
+    return joined.select(*(F.col(f"r.{c}") for c in df.columns), (F.col("before") + F.col("k")).alias("rank")).orderBy("rank")
+
+
+@query("SELECT p_partkey, p_brand, row_number() OVER (ORDER BY TRY_CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS DECIMAL(38,0)) ASC NULLS LAST, p_partkey) AS rank FROM part")
+def numeric_aware_rank(spark, sf):
+    """The order of numeric_aware_sort over all rows."""
+    return numeric_ranks(_table(spark, sf, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey")
+
+
 @query(
     "WITH c AS (SELECT p_type AS cls, count(*) AS n FROM part GROUP BY 1), cap AS (SELECT CAST(ceil(quantile_cont(n, 0.5)) AS BIGINT) AS cap FROM c), r AS (SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY md5(CAST(p_partkey AS VARCHAR)), p_partkey) AS k FROM part) SELECT p_partkey, p_type AS cls FROM r, cap WHERE k <= cap"
 )

@@ -49,6 +49,15 @@ def test_query(spark, duck, name):
     assert sorted("|".join(norm(r[c]) for c in cols) for r in rows) == want
 
 
+def test_numeric_rank_has_all_rows_and_empty_cells_last(spark):
+    from lineloom.plans import relational
+
+    cells = [(k, f"Brand#{k % 40 + 1}" if k % 5 else ("" if k % 2 else "none")) for k in range(200)]
+    rows = relational.numeric_ranks(spark.createDataFrame(cells, "id long, cell string"), "cell", "id").collect()
+    want = sorted(cells, key=lambda r: (r[0] % 5 == 0, int(r[1][6:]) if r[0] % 5 else 0, r[0]))
+    assert [(r["id"], r["cell"]) for r in rows] == want and [r["rank"] for r in rows] == list(range(1, 201))
+
+
 def test_entry(spark):
     import __spark_entry__
 
