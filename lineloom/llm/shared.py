@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only while its rows, at BROADCAST_ROW_BYTES each, stay below this.
 BROADCAST_BYTES = 32 << 20
 BROADCAST_ROW_BYTES = 64
+#: Bytes of a batch that goes to a Python task, in place of Spark's 64 MB, unless the session has a setting of its own.
+BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,13 +38,63 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/lineloom-{label}-{uuid.uuid4().hex}"
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, its session sending texts to Python tasks in batches of BATCH_BYTES, which bounds what a task holds of them."""
+    if df.sparkSession.conf.get(_BATCH, "67108864b") in ("67108864", "67108864b", "64m", "64MB"):
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
+def give_back() -> None:
+    """Return freed memory to the machine: Python workers are used again by later tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """A function over batches that gives its memory back when the task's last batch is done."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def lean_group(run: Callable, least: int = 4 << 20) -> Callable:
+    """The same for a function of one group, after groups of least bytes or more."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if table.nbytes >= least:
+            give_back()
+        return out
+
+    return wrapped
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise to the shared folder and cut the lineage; the files go when nothing refers to them."""
+    """Materialise to the shared folder and cut the lineage.
+
+    Sessions with spark.cleaner.referenceTracking.cleanCheckpoints delete the files when nothing refers to them any more;
+    in others they stay until the folder is cleared, as checkpoints do.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

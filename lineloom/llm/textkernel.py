@@ -30,19 +30,26 @@ def constants(seed: int, n: int) -> np.ndarray:
 BYTE = constants(1, 256)
 ORDER = constants(2, 64)
 _BASE = 0x9E3779B97F4A7C15
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Texts are hashed in pieces of about this many bytes; tables of powers for more are made for the occasion.
+PIECE = 1 << 20
+_powers: list[np.ndarray] = []
 
 WORD_BYTE = np.zeros(256, np.uint8)
 WORD_BYTE[ord("a") : ord("z") + 1] = WORD_BYTE[ord("0") : ord("9") + 1] = WORD_BYTE[128:] = 1
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            full = np.full(n, base & _M, np.uint64)
-            full[0] = 1
-            _powers[k] = np.multiply.accumulate(full)
-    return _powers[0][:n], _powers[1][:n]
+    """Powers of the base and of its inverse below n; those for one piece are kept, longer tables aren't."""
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        full = np.full(max(n, PIECE + 2), base & _M, np.uint64)
+        full[0] = 1
+        made.append(np.multiply.accumulate(full))
+    if n <= PIECE + 2:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def utf8(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +98,40 @@ def words(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return splitmix((h[e] - h[s]) * q[s]), s, e, np.searchsorted(s, off)
 
 
+def _cuts(b: np.ndarray, size: int) -> list[int]:
+    """Places in one text, about size bytes apart, where no word is cut; a word longer than size stays whole."""
+    at, out = 0, [0]
+    while len(b) - at > size:
+        gap = np.flatnonzero(WORD_BYTE[b[at + size // 2 : at + size]] == 0)
+        if len(gap):
+            at += size // 2 + int(gap[-1])
+        else:
+            stop = at + size
+            while stop < len(b) and not len(gap := np.flatnonzero(WORD_BYTE[b[stop : stop + size]] == 0)):
+                stop += size
+            if stop >= len(b):
+                break
+            at = stop + int(gap[0])
+        out.append(at)
+    return [*out, len(b)]
+
+
+def word_rows(data: np.ndarray, off: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(i, j, word hashes, offsets of each row's words) of row ranges of about size bytes.
+
+    A longer text is read in pieces of that size, so beside its bytes only its word hashes are held, 8 bytes each.
+    """
+    for i, j in slices(off, size):
+        if j - i > 1 or off[j] - off[i] <= size:
+            word, _, _, at = words(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            yield i, j, word, at
+            continue
+        text = data[off[i] : off[j]]
+        cut = _cuts(text, size)
+        word = np.concatenate([words(text[a:b], np.array([0, b - a]))[0] for a, b in zip(cut, cut[1:], strict=False)])
+        yield i, j, word, np.array([0, len(word)])
+
+
 def shingles(word: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every n consecutive words of each row and the rows' offsets.
 
