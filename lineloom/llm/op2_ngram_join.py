@@ -5,17 +5,22 @@ T = ceil(2t/(1+t) * |a|) n-grams when |a| <= |b|, so b must occur in T of the in
 merges the short lists with a heap, probes the long ones by binary search, and keeps the documents that reach the
 overlap; overlaps are exact (n-grams are told apart by 48 bits of hash: two of a pair's are confused once in 10^9 pairs).
 
-Distribution: documents with equal sets collapse to one representative; 16 min-hash keys per set, of which at least
-MATCHED must also belong to another set, decide which sets can have a partner at all (a pair at the threshold is
-missed with probability 0.002); the first BUCKET_KEYS keys are the buckets in which the search runs, each distinct
-bucket once. Before any n-gram moves, a pass over the keys alone finds the sets that agree with one other set of a bucket
-in MATCHED keys and share no smaller bucket with it; only these are sent to the bucket. Buckets of more than SPLIT sets are divided by a second key, in SECOND_KEYS alternatives, so that a passage
-which very many documents share does not gather them all in one task. The chance to miss a pair at similarity 0.5 is
-below 0.03 and falls quickly above it.
+Distribution: documents with equal sets are one class of copies with one representative. An inverted index of everything
+can't be in one task, so the search runs in buckets: the representatives that agree in one of BUCKET_KEYS min-hash keys.
+Each leaves out its most frequent key, which loses no pair that agrees in two. A pair is searched in the rarest bucket that
+it shares and nowhere else, and only if it agrees in MATCHED of PRINTS further min-hashes; a pass over these alone finds the
+sets that have such a partner, and no other n-grams move. Together these miss a pair at similarity 0.5 with a probability
+below 2 in a million, 0.55 below 2 in ten million. Buckets of any size are searched whole: one of more than BLOCK sets or
+BLOCK_GRAMS n-grams is divided into blocks, and every two blocks are a task of their own, so tasks stay small and no pair is
+left out; the work within a bucket grows with the square of the different sets in it.
+
+Links are counted where they are found, so a dense group gives a row a document, not all its pairs.
 
 Null doc_id or null text, and texts without a word, take no part. Repeated rows (same doc_id and set) count once; a
-document is never its own partner; one with several texts is paired by each of them. Texts of fewer than 3 words have one n-gram, all their words. Other columns are
-ignored. An empty table gives an empty result.
+document is never its own partner; one with several texts is one document, whose links are added up text by text. Texts of
+fewer than 3 words have one n-gram, all their words. A very long text is hashed in pieces; its task holds its n-grams,
+about 1.5 times the text. Ties: a class is named by its least doc_id. Other columns, whatever their names, are ignored. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,33 +32,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineloom.llm import shared, textkernel
 
 N, THRESHOLD = 3, 0.5
-KEYS, MATCHED, BUCKET_KEYS = 16, 3, 6
-SPLIT, SECOND_KEYS = 2000, 9
+BUCKET_KEYS, PRINTS, MATCHED = 24, 64, 13
+BLOCK, BLOCK_GRAMS = 2048, 400_000
 MU, FAN, SMALL = 0.0085, 16, 24
-_A = textkernel.constants(11, KEYS)
+_A = textkernel.constants(11, PRINTS)
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[p:p+2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 3 * c >= x.n + y.n),
+r AS (SELECT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+k AS (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY a)
+SELECT k.doc_id, class_id, CAST(l.n AS BIGINT) AS n_links FROM k JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) l ON l.a = k.doc_id
+"""
 
 
-def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row of the batch, sorted distinct n-gram hashes of 48 bits) of every row that has a word."""
+def _flat_sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of the batch, sorted distinct n-gram hashes of 48 bits one row after the other, their offsets); rows with a word only."""
     data, off = textkernel.utf8(batch.column("text"))
-    for i, j in textkernel.slices(off, 1 << 20):
-        word, _, _, word_off = textkernel.words(data[off[i] : off[j]], off[i : j + 1] - off[i])
-        gram, gram_off = textkernel.shingles(word, word_off, n)
+    for i, _, word, word_off in textkernel.word_rows(data, off):
+        gram, at = textkernel.shingles(word, word_off, n)
         gram >>= np.uint64(16)
-        for k in range(j - i):
-            own = gram[gram_off[k] : gram_off[k + 1]]
-            if len(own):
-                own = np.sort(own)
-                keep = np.empty(len(own), bool)
-                keep[0] = True
-                np.not_equal(own[1:], own[:-1], out=keep[1:])
-                yield i + k, own[keep]
+        own, rows = [], np.flatnonzero(np.diff(at))
+        for k in rows.tolist():
+            x = np.sort(gram[at[k] : at[k + 1]])
+            keep = np.empty(len(x), bool)
+            keep[0] = True
+            np.not_equal(x[1:], x[:-1], out=keep[1:])
+            own.append(x[keep])
+        if own:
+            yield rows + i, np.concatenate(own), np.concatenate(([0], np.cumsum([len(x) for x in own])))
+
+
+def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row of the batch, its set) of every row that has a word."""
+    for rows, flat, at in _flat_sets(batch, n):
+        for k, i in enumerate(rows.tolist()):
+            yield i, flat[at[k] : at[k + 1]]
 
 
 def packed(own: np.ndarray) -> bytes:
@@ -69,43 +92,41 @@ def unpacked(raw) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def _identity(own: np.ndarray) -> tuple[int, int]:
-    return int(textkernel.splitmix(own).sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(own * _A[0]).view(np.int64))
+def _identities(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every set."""
+    return np.add.reduceat(textkernel.splitmix(flat), at[:-1]).view(np.int64), np.bitwise_xor.reduceat(flat * _A[0], at[:-1]).view(np.int64)
+
+
+_SKETCH = "doc_id long, size int, h1 long, h2 long, keys array<long>, prints binary"
 
 
 def _sketch(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tag = np.arange(KEYS, dtype=np.uint64)
+        slot = np.uint64(31)
         for batch in batches:
-            rows, size, h1, h2, keys = [], [], [], [], []
-            for i, own in _sets(batch, n):
-                rows.append(i)
-                size.append(len(own))
-                a, b = _identity(own)
-                h1.append(a)
-                h2.append(b)
-                low = np.fromiter(((own * a).min() for a in _A), np.uint64, KEYS)
-                keys.append(((low & ~np.uint64(KEYS - 1)) | tag).view(np.int64))
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * KEYS), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(size, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], ["doc_id", "size", "h1", "h2", "keys"])
+            for rows, flat, at in _flat_sets(batch, n):
+                low = np.empty((len(rows), PRINTS), np.uint64)
+                for k, a in enumerate(_A):
+                    low[:, k] = np.minimum.reduceat(flat * a, at[:-1])
+                keys = ((low[:, :BUCKET_KEYS] & ~slot) | np.arange(BUCKET_KEYS, dtype=np.uint64)).view(np.int64)
+                prints = (low >> np.uint64(24)).astype("<u2").tobytes()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BUCKET_KEYS), pa.array(keys.reshape(-1)))
+                blobs = pa.array([prints[k : k + 2 * PRINTS] for k in range(0, len(prints), 2 * PRINTS)], pa.binary())
+                h1, h2 = _identities(flat, at)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(np.diff(at), pa.int32()), pa.array(h1), pa.array(h2), lists, blobs], ["doc_id", "size", "h1", "h2", "keys", "prints"])
 
-    return run
+    return shared.lean(run)
 
 
 def _gram_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, h1, h2, grams = [], [], [], []
-            for i, own in _sets(batch, n):
-                a, b = _identity(own)
-                rows.append(i)
-                h1.append(a)
-                h2.append(b)
-                grams.append(packed(own))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(grams, pa.binary())], ["doc_id", "h1", "h2", "grams"])
+            for rows, flat, at in _flat_sets(batch, n):
+                raw, cuts = packed(flat), (at * 6).tolist()
+                h1, h2 = _identities(flat, at)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(h1), pa.array(h2), pa.array([raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["doc_id", "h1", "h2", "grams"])
 
-    return run
+    return shared.lean(run)
 
 
 def merge_lists(lists: list[list[int]], least: int) -> dict[int, int]:
@@ -193,21 +214,23 @@ def divide_skip(lists: list[np.ndarray], need: int, mu: float = MU) -> tuple[np.
     return ids[count >= need], count[count >= need]
 
 
-def rivals(keys: np.ndarray, flat: np.ndarray, off: np.ndarray, own: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(member, later members) that can be similar and belong to no smaller bucket together, so each pair comes up once.
+def rivals(prints: np.ndarray, flat: np.ndarray, off: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(member, later members) that can be similar and belong to no rarer bucket together, so each pair comes up once.
 
-    Similar sets agree in MATCHED of the KEYS keys at least. flat and off hold every member's buckets; own is this one.
+    Similar sets agree in MATCHED of the prints at least. flat and off hold every member's rarer buckets. Pairs of the
+    same block are left out.
     """
-    keys = np.ascontiguousarray(keys.T)
-    member, less = np.repeat(np.arange(len(off) - 1), np.diff(off)), flat < own
-    _, number = np.unique(flat[less], return_inverse=True)
-    member = member[less]
+    prints = np.ascontiguousarray(prints.T)
+    member = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    _, number = np.unique(flat, return_inverse=True)
     by = np.argsort(number, kind="stable")
-    ends, start = np.searchsorted(number[by], np.arange(int(number.max(initial=-1)) + 2)), np.searchsorted(member, np.arange(len(off)))
+    ends = np.searchsorted(number[by], np.arange(int(number.max(initial=-1)) + 2))
     with_bucket = member[by]
-    for q in range(keys.shape[1] - 1):
-        ok = (keys[:, q + 1 :] == keys[:, q : q + 1]).sum(0) >= MATCHED
-        for k in number[start[q] : start[q + 1]].tolist():
+    for q in range(prints.shape[1] - 1):
+        ok = (np.add.reduce(prints[:, q + 1 :] == prints[:, q : q + 1], 0, np.uint8) >= MATCHED) & (block[q + 1 :] != block[q])
+        if not ok.any():
+            continue
+        for k in number[off[q] : off[q + 1]].tolist():
             others = with_bucket[ends[k] : ends[k + 1]]
             ok[others[others > q] - q - 1] = False
         later = np.flatnonzero(ok) + q + 1
@@ -259,111 +282,151 @@ def join_sets(ids: np.ndarray, sets: list[np.ndarray], threshold: float, among=N
                 yield int(order[q]), int(order[c]), overlap, jaccard
 
 
-def _members(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, KEYS)
-    lists = table.column("buckets").combine_chunks()
-    return keys, lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))), table.column("bucket")[0].as_py()
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A list column's values and the rows' offsets in them."""
+    parts = [c.flatten().to_numpy() for c in column.chunks]
+    size = np.concatenate([c.value_lengths().to_numpy() for c in column.chunks])
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum(size)))
 
 
-def _promising(table: pa.Table) -> pa.Table:
-    """The members of a bucket that may have a partner which no other bucket finds."""
-    keep = np.zeros(len(table), bool)
-    for q, others in rivals(*_members(table)):
-        keep[q] = keep[others] = True
-    return table.select(["doc_id", "h1", "h2", "bucket"]).filter(pa.array(keep))
+def _members(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(prints, rarer buckets, their offsets, block) of the rows; where a task has one block only, each row counts as its own."""
+    prints = np.frombuffer(b"".join(x.as_buffer().to_pybytes() for c in table.column("prints").chunks for x in c), "<u2").reshape(-1, PRINTS)
+    lo, hi = table.column("lo").to_numpy(), table.column("hi").to_numpy()
+    return prints, *_flat(table.column("rarer")), np.where(lo != hi, table.column("block").to_numpy(), -1 - np.arange(len(table)))
+
+
+_PROMISING = "doc_id long, h1 long, h2 long, bucket long, lo int, hi int"
+
+
+def _promising(table: pa.Table, starts: np.ndarray) -> pa.Table:
+    """The members of each task that may have a partner in it."""
+    keep, size = np.zeros(len(table), bool), np.diff(starts)
+    prints, rarer, off, block = _members(table)
+    two = starts[:-1][size == 2]
+    like = two[(prints[two] == prints[two + 1]).sum(1) >= MATCHED]
+    for q in like.tolist():
+        keep[q] = keep[q + 1] = block[q] != block[q + 1] and not set(rarer[off[q] : off[q + 1]].tolist()).intersection(rarer[off[q + 1] : off[q + 2]].tolist())
+    for a, b in zip(starts[:-1][size > 2].tolist(), starts[1:][size > 2].tolist(), strict=True):
+        for q, others in rivals(prints[a:b], rarer[off[a] : off[b]], off[a : b + 1] - off[a], block[a:b]):
+            keep[a + q] = keep[a + others] = True
+    return table.select(["doc_id", "h1", "h2", "bucket", "lo", "hi"]).filter(pa.array(keep))
+
+
+_LINKS = "doc_id long, h1 long, links long, partner long"
 
 
 def _search(threshold: float):
-    def run(table: pa.Table) -> pa.Table:
-        doc, mark = table.column("doc_id").to_numpy(), table.column("h1").to_numpy()
-        keys, flat, off, own = _members(table)
-        sets = [unpacked(x.as_buffer()) for x in table.column("grams")]
+    def group(doc, copies, prints, rarer, off, block, sets) -> tuple[np.ndarray, list[int]]:
+        """(links of each member, each member's root in this task)."""
 
         def among(order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             size = np.diff(off)[order]
             to = np.concatenate(([0], np.cumsum(size)))
-            return rivals(keys[order], flat[np.repeat(off[order] - to[:-1], size) + np.arange(to[-1])], to, own)
-
-        found = list(join_sets(doc, sets, threshold, among))
-        i, j = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
-        cols = {"rep_a": doc[i], "h_a": mark[i], "rep_b": doc[j], "h_b": mark[j]}
-        return pa.table({k: pa.array(v, pa.int64()) for k, v in cols.items()} | {"overlap": pa.array([f[2] for f in found], pa.int64()), "jaccard": pa.array([f[3] for f in found], pa.float64())})
+            return rivals(prints[order], rarer[np.repeat(off[order] - to[:-1], size) + np.arange(to[-1])], to, block[order])
+
+        links, root = np.zeros(len(doc), np.int64), list(range(len(doc)))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        for i, j, _, _ in join_sets(doc, sets, threshold, among):
+            if doc[i] != doc[j]:
+                links[i] += copies[j]
+                links[j] += copies[i]
+            a, b = top(i), top(j)
+            root[max(a, b)] = min(a, b)
+        return links, [top(i) for i in range(len(doc))]
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        doc, mark, copies = (table.column(c).to_numpy() for c in ("doc_id", "h1", "copies"))
+        prints, rarer, off, block = _members(table)
+        grams = [x for c in table.column("grams").chunks for x in c]
+        links, partner = np.zeros(len(doc), np.int64), doc.copy()
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if b - a > 1:
+                links[a:b], root = group(doc[a:b], copies[a:b], prints[a:b], rarer[off[a] : off[b]], off[a : b + 1] - off[a], block[a:b], [unpacked(x.as_buffer()) for x in grams[a:b]])
+                partner[a:b] = doc[a:b][root]
+        some = np.flatnonzero((links > 0) | (partner != doc))
+        return pa.table({k: pa.array(v[some], pa.int64()) for k, v in (("doc_id", doc), ("h1", mark), ("links", links), ("partner", partner))})
 
     return run
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, bucket) for the sets that may have a partner; every distinct bucket of two sets or more once."""
+    """(doc_id, h1, h2, bucket, rarer, blocks): the buckets of each set that may have a partner, and those rarer than each."""
     rec = ["doc_id", "h1", "h2"]
-    key = sets.select(*rec, F.posexplode("keys").alias("j", "key"))
-    key = key.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n")
-    of_doc = Window.partitionBy(*rec)
-    key = key.withColumn("m", F.count("*").over(of_doc)).where(F.col("m") >= MATCHED).withColumn("all", F.collect_list(F.struct("j", "key")).over(of_doc)).where(F.col("j") < BUCKET_KEYS)
-    key = shared.cut(key.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").select(*rec, "j", "key", "n", "all"))
-    cold = key.where(F.col("n") <= SPLIT).select(*rec, F.col("key").alias("bucket"))
-    hot = (
-        key.where(F.col("n") > SPLIT)
-        .select(*rec, "j", "key", F.explode("all").alias("x"))
-        .where((F.col("x.j") != F.col("j")) & (F.pmod(F.col("x.j") - F.col("j"), F.lit(KEYS)) <= SECOND_KEYS))
-        .select(*rec, F.xxhash64("key", "x.key").alias("bucket"))
-    )
-    bucket = cold.union(hot)
+    key = sets.select(*rec, "size", F.explode("keys").alias("key"))
+    many = key.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    own = key.join(many, "key").groupBy(*rec, "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("s")).where(F.size("s") > 1)
+    key = shared.cut(own.select(*rec, "size", F.explode(F.slice("s", F.lit(1), F.size("s") - 1)["key"]).alias("bucket")))
     who = F.xxhash64(*rec)
-    content = bucket.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(who).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), *rec)).alias("y")).where("n > 1")
-    content = content.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
-    return bucket.join(content, "bucket", "left_semi").distinct()
+    content = key.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(who).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), *rec)).alias("y"), F.sum("size").alias("grams")).where("n > 1")
+    # buckets with the same members are one
+    content = content.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.first("grams").alias("grams"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    kept = key.join(content.select("bucket", "n", blocks.alias("blocks")), "bucket")
+    each = kept.groupBy(*rec).agg(F.array_sort(F.collect_list(F.struct("n", "bucket", "blocks"))).alias("s")).select(*rec, "s", F.posexplode("s").alias("i", "b"))
+    return each.select(*rec, F.col("b.bucket").alias("bucket"), F.slice("s", F.lit(1), F.col("i"))["bucket"].alias("rarer"), F.col("b.blocks").alias("blocks"))
+
 
+def _tasks(member: DataFrame) -> DataFrame:
+    """Each member once for every pair of blocks of its bucket that its own block is in; the blocks are block and other."""
+    own = F.pmod(F.xxhash64("doc_id", "h1", "h2"), F.col("blocks")).cast("int")
+    each = member.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
 
-def _copies_and_pairs(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(rep, h1, size, ids) of every set that several documents have, and the similar pairs of different sets.
 
-    A set is named by the least doc_id that has it, rep, and its hash h1.
+def _links(docs: DataFrame, n: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rep, h1, copies) of every document's set, and (rep, h1, links, partner) of the sets similar to others.
+
+    rep is the least doc_id that has the set, links are the documents linked to a document with it, but for its copies,
+    and partner ties the sets of a task together.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    sketch = docs.mapInArrow(_sketch(n), "doc_id long, size int, h1 long, h2 long, keys array<long>")
-    sketch = shared.cut(sketch.withColumn("rep", F.min("doc_id").over(Window.partitionBy("h1", "h2", "size"))))
-    same = sketch.groupBy("rep", "h1", "h2", "size").agg(F.array_sort(F.collect_set("doc_id")).alias("ids")).where(F.size("ids") > 1).drop("h2")
-    rec = ["doc_id", "h1", "h2"]
-    alone = sketch.where("doc_id = rep").dropDuplicates(rec)
-    bucket = shared.cut(_buckets(alone))
-    known = shared.cut(bucket.groupBy(*rec).agg(F.collect_set("bucket").alias("buckets")).join(alone.select(*rec, "keys"), rec))
-    promising = known.select("*", F.explode("buckets").alias("bucket")).groupBy("bucket").applyInArrow(_promising, "doc_id long, h1 long, h2 long, bucket long")
-    sent = known.join(shared.cut(promising).groupBy(*rec).agg(F.collect_list("bucket").alias("to")), rec)
+    docs = shared.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    rec, same = ["doc_id", "h1", "h2"], ["h1", "h2", "size"]
+    sketch = shared.cut(docs.mapInArrow(_sketch(n), _SKETCH))
+    member = sketch.select("doc_id", *same).distinct()
+    member = shared.cut(member.join(member.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), same))
+    alone = shared.cut(sketch.join(member.where("doc_id = rep").select(*rec, "copies"), rec).dropDuplicates(rec))
+    bucket = shared.cut(_tasks(_buckets(alone)))
+    task = ["bucket", "lo", "hi"]
+    sent = shared.cut(shared.by_group(bucket.join(alone.select(*rec, "prints"), rec).select(*rec, *task, "block", "rarer", "prints"), task, _promising, _PROMISING))
     wanted = shared.cut(sent.select("doc_id").distinct())
     grams = shared.keep_ids(docs, wanted, "doc_id").mapInArrow(_gram_rows(n), "doc_id long, h1 long, h2 long, grams binary").dropDuplicates(rec)
-    filled = grams.join(sent, rec).select("doc_id", "h1", "grams", "keys", "buckets", F.explode("to").alias("bucket"))
-    return same, filled.groupBy("bucket").applyInArrow(_search(threshold), "rep_a long, h_a long, rep_b long, h_b long, overlap long, jaccard double")
+    filled = sent.join(bucket, [*rec, *task]).join(grams.join(alone.select(*rec, "prints", "copies"), rec), rec)
+    found = shared.by_group(filled.select("doc_id", "h1", *task, "block", "rarer", "prints", "copies", "grams"), task, _search(threshold), _LINKS)
+    return member.select("doc_id", "rep", "h1", "copies"), shared.cut(found.select(F.col("doc_id").alias("rep"), "h1", "links", "partner"))
 
 
-def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id_a < doc_id_b, overlap, jaccard) of all pairs of near duplicates.
+def similar_documents(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, class_id, n_links) of every document that is similar to another.
 
-    The search runs over different sets; each of its pairs then stands for the pairs of all documents that have the two
-    sets, and documents with the same set are paired at similarity 1. See the module's text for nulls, short texts and
-    repeated rows.
+    n_links counts the other documents at the threshold or above, copies among them; class_id is the least doc_id of the
+    documents that links tie together, directly or through others. A document without a link is a class of its own and
+    has no row. See the module's text for nulls, short and long texts and repeated rows.
     """
-    same, pairs = _copies_and_pairs(docs, n, threshold)
-    same = shared.cut(same)
-    equal = same.select(F.explode("ids").alias("doc_id_a"), "ids", F.col("size").cast("long").alias("overlap"))
-    equal = equal.select("doc_id_a", F.explode(F.filter("ids", lambda x: x > F.col("doc_id_a"))).alias("doc_id_b"), "overlap", F.lit(1.0).alias("jaccard"))
-    ids = lambda x: same.select(F.col("rep").alias(f"rep_{x}"), F.col("h1").alias(f"h_{x}"), F.col("ids").alias(f"ids_{x}"))
-    small = shared.small_enough(same.count()) and shared.small_enough(same.agg(F.sum(F.size("ids"))).first()[0] or 0, 8)
-    side = lambda x: F.broadcast(ids(x)) if small else ids(x)
-    each = pairs.join(side("a"), ["rep_a", "h_a"], "left").join(side("b"), ["rep_b", "h_b"], "left")
-    each = each.select(F.explode(F.coalesce("ids_a", F.array("rep_a"))).alias("x"), F.coalesce("ids_b", F.array("rep_b")).alias("ids_b"), "overlap", "jaccard").select("x", F.explode("ids_b").alias("y"), "overlap", "jaccard").where("x <> y")
-    return each.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), "overlap", "jaccard").union(equal)
+    member, found = _links(docs, n, threshold)
+    links = found.groupBy("rep", "h1").agg(F.sum("links").alias("links"))
+    each = member.join(links, ["rep", "h1"], "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    several = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
+    ties = member.join(several, "doc_id", "left_semi").select("doc_id", "rep") if not several.isEmpty() else None
+    edges = found.select("rep", "partner")
+    root = shared.components(edges.union(ties) if ties else edges, "rep", "partner").withColumnRenamed("node", "rep")
+    out = each.where("links > 0").join(F.broadcast(root) if shared.small_enough(root.count()) else root, "rep", "left")
+    return out.groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("class_id"), F.sum("links").cast("long").alias("n_links"))
 
 
 def near_duplicates_removed(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the near duplicates: of each connected group of similar documents the least doc_id stays.
+    """docs without the near duplicates: of each class of similar documents the least doc_id stays.
 
     Columns stay as they are. Rows with a null doc_id or text are kept.
     """
-    same, pairs = _copies_and_pairs(docs, n, threshold)
-    links = same.select("rep", F.explode("ids").alias("other")).union(pairs.select("rep_a", "rep_b")).where("rep <> other")
-    gone = shared.components(shared.cut(links), "rep", "other").where("node <> root").select(F.col("node").alias("doc_id"))
+    gone = similar_documents(docs, n, threshold).where("doc_id <> class_id").select("doc_id")
     return shared.drop_ids(docs, shared.cut(gone), "doc_id")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,16 +78,40 @@ def lean(run: Callable) -> Callable:
     return wrapped
 
 
-def lean_group(run: Callable, least: int = 4 << 20) -> Callable:
-    """The same for a function of one group, after groups of least bytes or more."""
+def by_group(df: DataFrame, keys: list[str], run: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """run(rows, starts of the groups and their end) over many whole groups at a time, for groups that are mostly tiny.
 
-    def wrapped(table: pa.Table) -> pa.Table:
-        out = run(table)
-        if table.nbytes >= least:
-            give_back()
-        return out
+    The rows are repartitioned and sorted by keys; a task holds one batch and the group that goes on beyond it, so the
+    groups themselves must be bounded.
+    """
 
-    return wrapped
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        new[:1] = True
+        for k in keys:
+            x = table.column(k).to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        return np.flatnonzero(new)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if len(held) > 1 and all(batch.column(k)[-1] == held[0].column(k)[-1] for k in keys):
+                continue  # still the same group
+            table = pa.Table.from_batches(held)
+            at = starts(table)
+            if len(at) > 1:
+                yield from run(table.slice(0, int(at[-1])), at).to_batches()
+                table = table.slice(int(at[-1]))
+            held = table.to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from run(table, np.append(starts(table), len(table))).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(stream), schema)
 
 
 def cut(df: DataFrame) -> DataFrame:
