@@ -10,13 +10,16 @@ two phrases more, lengths between and beyond in proportion. A short text so isn'
 of a few letters nearly any text is kept.
 
 Texts are lower-cased, tokens of ASCII letters and digits that have a digit (numbers, codes, keys) are left out, and every
-run of non-letters becomes one space. They are parsed whole, in pieces of WINDOW characters whose ends also end a phrase,
-so that numpy can step through thousands of pieces at once.
+run of non-letters becomes one space. They are parsed whole. So that numpy can step through thousands of places at once, a
+text is parsed in pieces of WINDOW characters; each piece but the first is then parsed again from where the one before it
+ended, until both parses are in the same state, so the phrases are those of a parse from front to back. Very long texts are
+encoded in pieces; a task holds their letters, one to four bytes each.
 
 Training reads a bounded sample of labelled rows: per language at most TRAIN_DOCS documents, the first in the order of
 a hash of doc_id among those of under TRAIN_CHARS characters, and of these whole documents of up to TRAIN_CHARS characters
 together; a language with longer ones only is trained on the beginning of one. All documents are classified. Every letter
-of the training texts is a symbol of its own; tables of over DENSE entries (large alphabets) are kept as hash tables.
+of the training texts is a symbol of its own; tables of over DENSE entries (large alphabets) are kept as hash tables. The
+tables are made once, on the driver, and sent to the tasks.
 
 Null or empty text, or one without letters: language null, bits null, rejected. Rows with a null lang take no part in
 training. Repeated rows are classified one by one. Ties go to the first language by name. No labelled row at all: every
@@ -36,11 +39,12 @@ from pyspark.sql import functions as F
 
 from lineloom.llm import shared, textkernel
 
-TRAIN_DOCS, TRAIN_CHARS, WINDOW, MAX_BITS = 60, 40_000, 4096, 4.5
-SLICE = 3 << 20
+TRAIN_DOCS, TRAIN_CHARS, WINDOW, MAX_BITS = 60, 40_000, 1024, 4.5
+SLICE = 4 << 20
 LENGTHS, MARGIN = tuple(1 << k for k in range(10)), 1.3
 DENSE = 8 << 20
 _SPACE, _OTHER, _BEGINS = 0, 1, 1 << 31  # bit 31: a phrase begins here
+_STATE = np.uint32(_BEGINS - 1)
 _LETTER = np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)), bool, 0x110000)
 _DIGIT, _TOKEN = np.zeros(256, bool), np.zeros(256, bool)
 _DIGIT[[*b"0123456789"]] = True
@@ -139,6 +143,25 @@ def encode(data: np.ndarray, off: np.ndarray, code: np.ndarray) -> tuple[np.ndar
     return c[keep], np.concatenate(([0], np.cumsum(keep)))[at]
 
 
+def encoded(data: np.ndarray, off: np.ndarray, code: np.ndarray, piece: int = SLICE) -> tuple[np.ndarray, np.ndarray]:
+    """encode, a text longer than piece by pieces that end after a space, or where a letter begins if it has none."""
+    if len(off) != 2 or off[1] - off[0] <= piece:
+        return encode(data, off, code)
+    out, at = [], 0
+    while at < len(data):
+        stop = min(len(data), at + piece)
+        if stop < len(data):
+            space = np.flatnonzero(data[at:stop] == 32)
+            stop = at + int(space[-1]) + 1 if len(space) else stop
+            while stop < len(data) and data[stop] & 0xC0 == 0x80:
+                stop += 1
+        own = encode(data[at:stop], np.array([0, stop - at]), code)[0]
+        out.append(own[1:] if out and len(own) and own[0] == _SPACE and (not len(out[-1]) or out[-1][-1] == _SPACE) else own)
+        at = stop
+    symbols = np.concatenate(out)
+    return symbols, np.array([0, len(symbols)])
+
+
 class Dense:
     """A language's transitions as a table of states by letters."""
 
@@ -223,6 +246,9 @@ class Model:
         start = off[:-1][row] + nth * self.window
         length = np.minimum(self.window, off[1:][row] - start)
         by = np.argsort(-length, kind="stable")
+        lane = np.empty_like(by)
+        lane[by] = np.arange(len(by))
+        after = np.where(np.append(nth[1:], 0) > 0, np.append(lane[1:], 0), -1)[by]  # the lane of the piece that follows
         row, start, length = row[by], start[by], length[by]
         lanes = np.searchsorted(-length, -np.arange(1, int(length[0]) + 1), side="right") if len(length) else []
         state = [np.zeros(len(row), np.uint32) for _ in self.langs]
@@ -232,9 +258,37 @@ class Model:
             for s, n, table, own in zip(state, count, self.tables, self.own, strict=True):
                 v = table.step(s[:a], own[c].astype(np.uint32))
                 n[:a] += (v >> np.uint32(31)).view(np.int32)
-                s[:a] = v & np.uint32(0x7FFFFFFF)
+                s[:a] = v & _STATE
+        for s, n, table, own in zip(state, count, self.tables, self.own, strict=True):
+            n += self._carried(symbols, start, length, after, s, table, own)
         return np.stack([np.bincount(row, weights=n, minlength=len(size)) for n in count]) if self.langs else np.zeros((0, len(size)))
 
+    @staticmethod
+    def _carried(symbols: np.ndarray, start: np.ndarray, length: np.ndarray, after: np.ndarray, state: np.ndarray, table, own: np.ndarray) -> np.ndarray:
+        """What each piece's phrases change by when it goes on from the state at the end of the piece before; state is updated."""
+        change, alone_end = np.zeros(len(state), np.int32), state.copy()
+        ended = np.flatnonzero(after >= 0)
+        while len(ended):
+            at = after[ended]  # pieces to parse from both starts, side by side
+            alone, true, diff, end = np.zeros(len(at), np.uint32), state[ended], np.zeros(len(at), np.int32), alone_end[at]
+            live, t = np.arange(len(at)), 0
+            while len(live):
+                over = length[at[live]] <= t
+                end[live[over]] = true[live[over]]
+                live = live[~over & (alone[live] != true[live])]
+                if not len(live):
+                    break
+                c = own[symbols[start[at[live]] + t]].astype(np.uint32)
+                u, v = table.step(alone[live], c), table.step(true[live], c)
+                diff[live] += (v >> np.uint32(31)).view(np.int32) - (u >> np.uint32(31)).view(np.int32)
+                alone[live], true[live] = u & _STATE, v & _STATE
+                t += 1
+            change[at] = diff
+            other = state[at] != end  # a piece that ends otherwise now: the one after it once more
+            state[at] = end
+            ended = at[other & (after[at] >= 0)]
+        return change
+
     def limit(self, best: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Bits per character that text of these sizes has at most in the language at hand."""
         out = np.zeros(len(size))
@@ -249,7 +303,7 @@ class Model:
         data, off = textkernel.utf8(column)
         best, bits, most = np.zeros(len(off) - 1, np.int64), np.full(len(off) - 1, np.nan), np.full(len(off) - 1, max_bits)
         for i, j in textkernel.slices(off, SLICE):
-            symbols, at = encode(data[off[i] : off[j]], off[i : j + 1] - off[i], self.code)
+            symbols, at = encoded(data[off[i] : off[j]], off[i : j + 1] - off[i], self.code)
             size = np.diff(at)
             if self.langs and len(symbols):
                 rate = self.phrases(symbols, at) * np.array(self.bits)[:, None] / np.maximum(size, 1)
@@ -261,18 +315,6 @@ class Model:
         return names, bits, ~none & (np.nan_to_num(bits, nan=np.inf) <= most)
 
 
-_models: dict[int, Model] = {}
-
-
-def _model(texts: dict[str, str], window: int) -> Model:
-    """The worker's model: built once per process and training text."""
-    key = hash((tuple(sorted(texts.items())), window))
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(texts, window)
-    return _models[key]
-
-
 def training_texts(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> dict[str, str]:
     """Bounded labelled text by language, of whole documents."""
     labelled = labelled.where("lang is not null and text is not null and doc_id is not null").withColumn("long", F.length("text") >= chars)
@@ -291,27 +333,27 @@ def training_texts(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS, chars:
 
 def identify(docs: DataFrame, texts: dict[str, str], max_bits: float = MAX_BITS, window: int = WINDOW) -> DataFrame:
     """(doc_id, lang_found, bits_per_char, rejected) of every row."""
-    known = docs.sparkSession.sparkContext.broadcast(texts)
+    sent = docs.sparkSession.sparkContext.broadcast(Model(texts, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(known.value, window)
+        model = sent.value
         for batch in batches:
             names, bits, ok = model.classify(batch.column("text"), max_bits)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), names, pa.array(np.round(bits, 9), mask=np.isnan(bits)), pa.array(~ok)], ["doc_id", "lang_found", "bits_per_char", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_found string, bits_per_char double, rejected boolean")
+    return shared.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(shared.lean(run), "doc_id long, lang_found string, bits_per_char double, rejected boolean")
 
 
 def identified(docs: DataFrame, texts: dict[str, str], max_bits: float = MAX_BITS, window: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns as they are, whose text is in one of the languages."""
-    known, at = docs.sparkSession.sparkContext.broadcast(texts), docs.columns.index("text")
+    sent, at = docs.sparkSession.sparkContext.broadcast(Model(texts, window)), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(known.value, window)
+        model = sent.value
         for batch in batches:
             yield batch.filter(pa.array(model.classify(batch.column(at), max_bits)[2]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return shared.small_batches(docs).mapInArrow(shared.lean(run), docs.schema)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
