@@ -6,11 +6,16 @@ holds one of the item's n - ceil(t*n) + 1 rarest shingles, whatever the order; r
 so only these prefixes are looked up. Length and position bounds discard places where too few shingles remain before and
 after; the windows around the others are counted exactly.
 
-The item side is broadcast, after a check of its size, and the documents then need no shuffle at all; beyond
-ITEM_BYTES both sides are joined by shingle instead. Both ways give the same rows.
+The item side is broadcast, after a check of its size, and the documents then need no shuffle at all; beyond ITEM_BYTES
+both sides are joined by shingle instead. What is shuffled then are the shingles that a bitmap of BITS bits, made of the
+items' and of that size whatever they are, doesn't rule out; it is written once and used three times. Both ways give the
+same rows.
 
 Null ids or texts on either side, and texts without a word, match nothing. Items of fewer than 5 words have one shingle,
-all their words, that only an equally short document can hold. Repeated rows count once. Other columns are ignored.
+all their words, that only an equally short document can hold. Very long texts are hashed in pieces; a task holds their
+shingles, 8 bytes a word. Ties: shingles of the same count are ordered by hash, which changes what is looked up first and
+not what is found; a document that holds several items has a row for each. Repeated rows count once. No documents or no
+items: an empty result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 from lineloom.llm import shared, textkernel
 
 N, THRESHOLD, ITEM_BYTES = 5, 0.8, 32 << 20
+BITS, PAGE = 1 << 28, 1 << 16
 
 ORACLE = """
 WITH dw AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
@@ -43,21 +49,50 @@ def _need(distinct: np.ndarray | int, threshold: float):
     return np.ceil(np.round(threshold * distinct, 9)).astype(np.int64)
 
 
-def _shingle_rows(id_name: str, n: int):
-    """(id, number of shingle positions, position, shingle) rows of every text."""
+def _bit(shingle: np.ndarray) -> np.ndarray:
+    return (shingle & np.uint64(BITS - 1)).astype(np.int64)
+
+
+def bitmap(shingles: DataFrame) -> np.ndarray:
+    """BITS bits, set where a shingle of column shingle falls; gathered as pages of PAGE bits, so BITS / 8 bytes at most."""
+
+    def page(table: pa.Table) -> pa.Table:
+        bits = np.zeros(PAGE, bool)
+        bits[_bit(table.column("shingle").to_numpy().view(np.uint64)) % PAGE] = True
+        return pa.table({"page": table.column("page").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    rows = shingles.select("shingle", F.shiftright(F.col("shingle").bitwiseAND(BITS - 1), PAGE.bit_length() - 1).alias("page"), F.col("shingle").bitwiseAND(BITS - 1).alias("bit"))
+    rows = rows.dropDuplicates(["page", "bit"]).drop("bit").groupBy("page").applyInArrow(page, "page long, bits binary")
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in rows.toLocalIterator():
+        out[r["page"] * (PAGE // 8) : (r["page"] + 1) * (PAGE // 8)] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _shingle_rows(id_name: str, n: int, able=None):
+    """(id, number of shingle positions, position, shingle) rows of every text; able: a broadcast bitmap that they must be in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = textkernel.utf8(batch.column("text"))
-            for i, j in textkernel.slices(off, 1 << 20):
-                word, _, _, word_off = textkernel.words(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                gram, at = textkernel.shingles(word, word_off, n)
+            for i, j, gram, at in _grams(batch, n):
                 count = np.diff(at)
                 row = np.repeat(np.arange(i, j), count)
                 pos = np.arange(len(gram)) - np.repeat(at[:-1], count)
-                yield pa.RecordBatch.from_arrays([batch.column(id_name).take(pa.array(row)), pa.array(np.repeat(count, count), pa.int64()), pa.array(pos, pa.int64()), pa.array(gram.view(np.int64))], [id_name, "m", "pos", "shingle"])
+                size = np.repeat(count, count)
+                if able is not None:
+                    bit = _bit(gram)
+                    some = np.flatnonzero(able.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
+                    gram, row, pos, size = gram[some], row[some], pos[some], size[some]
+                yield pa.RecordBatch.from_arrays([batch.column(id_name).take(pa.array(row)), pa.array(size, pa.int64()), pa.array(pos, pa.int64()), pa.array(gram.view(np.int64))], [id_name, "m", "pos", "shingle"])
+
+    return shared.lean(run)
 
-    return run
+
+def _grams(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(i, j, shingles of rows i to j, their offsets by row) of a batch."""
+    data, off = textkernel.utf8(batch.column("text"))
+    for i, j, word, word_off in textkernel.word_rows(data, off):
+        yield i, j, *textkernel.shingles(word, word_off, n)
 
 
 class Items:
@@ -135,22 +170,16 @@ def most_in_window(pos: list[int], shingle: list[int], window: int) -> int:
 def _by_broadcast(docs: DataFrame, items: Items, n: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
-    def grams(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        data, off = textkernel.utf8(batch.column("text"))
-        for i, j in textkernel.slices(off, 1 << 20):
-            word, _, _, word_off = textkernel.words(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            yield i, *textkernel.shingles(word, word_off, n)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         total = np.zeros(len(own.shingle) + 1, np.int64)
         for batch in batches:
-            for _, gram, _ in grams(batch):
+            for _, _, gram, _ in _grams(batch, n):
                 total += np.bincount(np.searchsorted(own.shingle, gram[own.places(gram, own.shingle)]), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own.shingle[some].view(np.int64)), pa.array(total[some])], ["shingle", "n"])
 
-    counts = docs.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
+    counts = docs.mapInArrow(shared.lean(count), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
     items.order({r[0]: r[1] for r in counts})
     ordered = docs.sparkSession.sparkContext.broadcast(items)
 
@@ -158,7 +187,7 @@ def _by_broadcast(docs: DataFrame, items: Items, n: int) -> DataFrame:
         own = ordered.value
         for batch in batches:
             rows, item, matched = [], [], []
-            for i, gram, at in grams(batch):
+            for i, _, gram, at in _grams(batch, n):
                 places = own.places(gram, own.lookup)
                 for k in np.unique(np.searchsorted(at, places, side="right") - 1).tolist():
                     for which, best in own.verify(gram[at[k] : at[k + 1]]):
@@ -167,12 +196,14 @@ def _by_broadcast(docs: DataFrame, items: Items, n: int) -> DataFrame:
                         matched.append(best)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(own.ids[item] if item else [], pa.int64()), pa.array(matched, pa.int64()), pa.array(own.distinct[item] if item else [], pa.int64())], ["doc_id", "item_id", "matched", "n_shingles"])
 
-    return docs.mapInArrow(find, "doc_id long, item_id long, matched long, n_shingles long")
+    return docs.mapInArrow(shared.lean(find), "doc_id long, item_id long, matched long, n_shingles long")
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, n: int, threshold: float) -> DataFrame:
     """The same join for an item side too large to broadcast."""
-    shingle = docs.mapInArrow(_shingle_rows("doc_id", n), "doc_id long, m long, pos long, shingle long").withColumnRenamed("m", "doc_m")
+    able = docs.sparkSession.sparkContext.broadcast(bitmap(items.select("shingle")))
+    shingle = docs.mapInArrow(_shingle_rows("doc_id", n, able), "doc_id long, m long, pos long, shingle long").withColumnRenamed("m", "doc_m")
+    shingle = shared.cut(shingle.join(items.select("shingle").distinct(), "shingle", "left_semi"))
     df = shingle.groupBy("shingle").agg(F.count("*").alias("df"))
     need = F.ceil(F.round(F.lit(threshold) * F.col("n"), 9))
     ranked = items.join(df, "shingle", "left").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("df", F.lit(0)), "shingle")))
@@ -192,7 +223,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, n: int, threshold: float) ->
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, matched, n_shingles, containment) of every document that holds a passage of an item."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    docs = shared.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     items = items.mapInArrow(_shingle_rows("item_id", n), "item_id long, m long, pos long, shingle long").groupBy("item_id", "shingle").agg(F.max("m").alias("m"))
     items = shared.cut(items.withColumn("n", F.count("*").over(Window.partitionBy("item_id"))).withColumn("m", F.max("m").over(Window.partitionBy("item_id"))))
