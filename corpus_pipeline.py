@@ -1,4 +1,16 @@
-"""The corpus pipeline: documents in, a deduplicated, decontaminated and mixed corpus out."""
+"""The corpus pipeline: documents in, a deduplicated, decontaminated and mixed corpus out.
+
+Every stage works on all rows that the stage before it kept, written as Parquet below spark.checkpoint.dir and read again;
+run() deletes what the stage before wrote as soon as a stage has ended, so two copies exist at most. All stages but the
+last return the columns of documents as they are, extra ones included, whatever their names.
+
+Null text: rejected by language_id, as are empty texts and those without a letter, for no language can be told. Null
+doc_id: passes language_id, dedup and decontamination, which need an id to remove a row, and is left out by mix, which
+samples documents by id. Null lang: takes no part in training, is judged like the others. Null source: a source of its
+own. Very long texts are read whole by every stage. Ties: of equal or similar documents the least doc_id stays. Repeated
+rows (the same doc_id and text) are one document, kept or removed together. An empty documents table, or one without a
+labelled row, gives an empty result; an empty benchmark table removes nothing.
+"""
 
 from __future__ import annotations
 
@@ -34,7 +46,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mix", mix)]
 
-#: Cross-parsing and the cube method have no SQL; the tests hold run() against a brute-force version.
+#: Cross-parsing and the cube method have no SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
@@ -46,4 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            shared.remove(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
