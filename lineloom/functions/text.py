@@ -36,6 +36,19 @@ def _apply(col: Column, rules) -> Column:
     return reduce(lambda c, r: F.regexp_replace(c, r[0], F.lit(r[1])), rules, col)
 
 
+def _homographs(col: Column) -> Column:
+    """HOMOGRAPHS, of which no rule acts on what another gives: characters for characters at once, the rest by plain search."""
+    col = F.translate(col, "_#`´‘’′µ–—“”″〃", "~~'''''μ--\"\"\"\"")
+    longer = (('"', "''"), ("„", ",,"), ("…", "..."), ("‴", "'''"), ("ﬂ", "fl"), ("ﬁ", "fi"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
+    return reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), longer, col)
+
+
+def _model_folds(col: Column) -> Column:
+    """LM_FOLDS in the same way."""
+    col = F.regexp_replace(F.regexp_replace(col, r"[\x00-\x1f]+", ""), r"(?U)\s+", " ")
+    return F.replace(F.translate(col, "`´‘’ſȚ“”„‟~", "''''s,\"\"\"\""), F.lit('"'), F.lit("''"))
+
+
 def _form(kind: str):
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -59,22 +72,32 @@ def normalize_text(col: Column, compose: bool = True) -> Column:
     """NFC, white space runs to one space, ends trimmed, homographs replaced. compose=False for text known to be NFC."""
     col = nfc(col) if compose else col
     col = F.regexp_replace(col, r"(?U)\s+", " ")
-    return _apply(F.trim(col), HOMOGRAPHS)
+    return _homographs(F.trim(col))
 
 
 def project_text(col: Column, kind: str = "exact", compose: bool = True) -> Column:
-    """Text on the smaller alphabet in which two texts are compared.
+    """Text on the smaller alphabet in which two texts are compared: project_normal of projection_base."""
+    return project_normal(projection_base(col, compose), kind)
+
+
+def projection_base(col: Column, compose: bool = True) -> Column:
+    """What all projections begin with; several of one text should be made of one such column."""
+    col = F.regexp_replace(normalize_text(col, compose), r"( *[.] *){4,}", "....")
+    return F.translate(col, "~_", "")
+
+
+def project_normal(base: Column, kind: str) -> Column:
+    """One projection of a projection base.
 
     "lnc" keeps what becomes A-Z one for one in upper case, so a sharp s doesn't turn into SS.
     """
-    col = normalize_text(col, compose)
-    col = F.regexp_replace(col, r"( *[.] *){4,}", "....")
-    col = F.regexp_replace(col, "[~_]", "")
     if kind == "lnc":
-        return F.upper(F.regexp_replace(col, "[^A-Za-zıſ]", ""))
+        return F.upper(F.regexp_replace(base, "[^A-Za-zıſ]+", ""))
     if kind not in PROJECTIONS:
         raise BadInput(f"no such projection: {kind}")
-    return F.regexp_replace(col, PROJECTIONS[kind], "") if PROJECTIONS[kind] else col
+    if kind == "nospace":  # all white space is spaces by now
+        return F.translate(base, " ", "")
+    return F.regexp_replace(base, PROJECTIONS[kind] + "+", "") if PROJECTIONS[kind] else base
 
 
 def requote(col: Column) -> Column:
@@ -91,7 +114,7 @@ def requote_fancy(col: Column, germanic: bool = False) -> Column:
 
 def fold_for_model(col: Column, digits: bool = False) -> Column:
     """The folding of text before character statistics."""
-    return _apply(col, LM_FOLDS + (DIGITS if digits else ()))
+    return _apply(_model_folds(col), DIGITS) if digits else _model_folds(col)
 
 
 def size_category(col: Column) -> Column:
@@ -133,17 +156,18 @@ def gt_implode(col: Column) -> Column:
 
 
 def pack4(col: Column) -> Column:
-    """Up to four characters of 16 bits each in one integer, the first in the low bits."""
-    out = F.lit(0).cast("long")
+    """Up to four characters of 16 bits each in one integer, the first in the low bits; null for more, or for a wider one."""
+    out, fits = F.lit(0).cast("long"), F.length(col) <= 4
     for k in range(4):
-        out = out.bitwiseOR(F.shiftleft(F.coalesce(F.ascii(F.substring(col, k + 1, 1)), F.lit(0)).cast("long"), 16 * k))
-    return out
+        code = F.coalesce(F.ascii(F.substring(col, k + 1, 1)), F.lit(0)).cast("long")
+        out, fits = out.bitwiseOR(F.shiftleft(code, 16 * k)), fits & (code < 65536)
+    return F.when(fits, out)
 
 
 def unpack4(col: Column) -> Column:
     """The inverse of pack4."""
     code = [F.shiftrightunsigned(col, 16 * k).bitwiseAND(65535) for k in range(4)]
-    return F.concat(*[F.when(c > 0, F.decode(F.unhex(F.lpad(F.hex(c), 4, "0")), "UTF-16BE")).otherwise("") for c in code])
+    return F.concat(*[F.when(c > 0, F.decode(F.unhex(F.lpad(F.hex(c), 4, "0")), "UTF-16BE")).when(c == 0, "") for c in code])
 
 
 def escape_html(col: Column) -> Column:

@@ -14,17 +14,21 @@ def counts(lines: DataFrame, n: int, column: str = "line", digits: bool = False,
     drop_last leaves out the last n-graph of each line, as models built this way always have.
     """
     pad = F.lit("_" * (n - 1))
-    padded = lines.where(F.length(column) >= 3).select(F.concat(pad, text.fold_for_model(F.col(column), digits), pad).alias("s"))
-    last = F.length("s") - n + (0 if drop_last else 1)
-    grams = padded.where(last > 0).select(F.explode(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring("s", i, F.lit(n)))).alias("g"))
+    chars = lines.where(F.length(column) >= 3).select(F.split(F.concat(pad, text.fold_for_model(F.col(column), digits), pad), "").alias("s"))
+    last = F.size("s") - n + (0 if drop_last else 1)
+    whole = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.concat(*(F.get("s", i + k) for k in range(n))))
+    grams = chars.where(last > 0).select(F.explode(whole).alias("g"))
     return grams.groupBy("g").agg(F.count("*").alias("n")).select(F.substring("g", 1, n - 1).alias("prefix"), F.substring("g", n, 1).alias("ch"), "n")
 
 
 def posteriors(count: DataFrame) -> DataFrame:
     """count with neglogp = log(total of the prefix + 1) - log(n), and for every prefix the reject "~" counted once."""
-    reject = count.select("prefix").distinct().select("prefix", F.lit("~").alias("ch"), F.lit(1).cast("long").alias("n"))
-    every = count.unionByName(reject)
-    return every.withColumn("neglogp", F.round(F.log(F.sum("n").over(Window.partitionBy("prefix"))) - F.log("n"), 6))
+    total = F.sum("n").over(Window.partitionBy("prefix"))
+    first = F.row_number().over(Window.partitionBy("prefix").orderBy("ch")) == 1
+    each = count.select("prefix", "ch", "n", total.alias("t"), first.alias("first"))
+    own = F.struct("ch", "n")
+    rows = F.when(F.col("first"), F.array(own, F.struct(F.lit("~").alias("ch"), F.lit(1).cast("long").alias("n")))).otherwise(F.array(own))
+    return each.select("prefix", "t", F.explode(rows).alias("r")).select("prefix", "r.ch", "r.n", F.round(F.log(F.col("t") + 1) - F.log("r.n"), 6).alias("neglogp"))
 
 
 def look_up(wanted: DataFrame, model: DataFrame, missing: float = 15.0) -> DataFrame:

@@ -141,10 +141,30 @@ def spread_labels(spark, sf):
     return ra.spread(_labels(spark, sf), 2)
 
 
-@query("SELECT p_partkey, CASE WHEN p_size * 100 < 600 THEN 'not tall enough' WHEN p_retailprice > 10000 THEN 'too wide' WHEN p_partkey % 50 < 10 THEN 'too few components' END AS reject_reason FROM (SELECT * FROM part WHERE p_retailprice >= 600)")
+_STATS = "SELECT p_partkey, p_size * 250 AS height, CAST(trunc(p_retailprice) * 7 % 12000 AS BIGINT) AS width, p_partkey % 7 AS mean, p_partkey % 5 AS median, p_partkey * 37 % 90000 AS components FROM part"
+
+
+@query(
+    f"SELECT p_partkey, CASE WHEN mean < median THEN 'may be inverted' WHEN height < 600 THEN 'not tall enough' WHEN height > 10000 THEN 'too tall' WHEN width < 600 THEN 'too narrow' WHEN width > 10000 THEN 'too wide' WHEN components < 10 THEN 'too few components' WHEN components > floor(height * width / 900) THEN 'too many components' END AS reject_reason FROM ({_STATS})"
+)
 def page_validity(spark, sf):
-    p = _table(spark, sf, "part").where("p_retailprice >= 600").select("p_partkey", (F.col("p_size") * 100).alias("height"), F.col("p_retailprice").alias("width"), F.lit(1.0).alias("mean"), F.lit(1.0).alias("median"), (F.col("p_partkey") % 50).alias("components"))
-    return ra.page_reject_reason(p).select("p_partkey", "reject_reason")
+    """Every part's numbers as those of a page; all of the rules have cases."""
+    p, k = _table(spark, sf, "part"), F.col("p_partkey")
+    stats = p.select(k, (F.col("p_size") * 250).alias("height"), (F.col("p_retailprice").cast("long") * 7 % 12000).alias("width"), (k % 7).alias("mean"), (k % 5).alias("median"), (k * 37 % 90000).alias("components"))
+    return ra.page_reject_reason(stats).select("p_partkey", "reject_reason")
+
+
+_LINE_STATS = "SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity) AS BIGINT) * 5 AS height, CAST(trunc(l_extendedprice) AS BIGINT) % 5000 AS width, l_partkey % 9 AS mean, l_suppkey % 4 AS median, l_partkey % 90 AS components FROM lineitem"
+
+
+@query(
+    f"SELECT l_orderkey, l_linenumber, CASE WHEN height < 20 THEN 'not tall enough' WHEN height > 200 THEN 'too tall' WHEN width < 1.5 * height THEN 'too narrow' WHEN width > 4000 THEN 'too wide' WHEN mean < median THEN 'may be inverted' WHEN components < 0.5 * width / height THEN 'too few components' WHEN components > 4 * (width / height) THEN 'too many components' END AS reject_reason FROM ({_LINE_STATS})"
+)
+def line_validity(spark, sf):
+    """The same for lines."""
+    li = _table(spark, sf, "lineitem")
+    stats = li.select("l_orderkey", "l_linenumber", (F.col("l_quantity").cast("long") * 5).alias("height"), (F.col("l_extendedprice").cast("long") % 5000).alias("width"), (F.col("l_partkey") % 9).alias("mean"), (F.col("l_suppkey") % 4).alias("median"), (F.col("l_partkey") % 90).alias("components"))
+    return ra.line_reject_reason(stats).select("l_orderkey", "l_linenumber", "reject_reason")
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lineloom.functions import numeric
+from lineloom.operators import quantiles
 from lineloom.plans.registry import query
 from lineloom.plans.text import _table
 
@@ -76,14 +77,18 @@ def bounding_extent(spark, sf):
 
 @query("SELECT event_type, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.9) AS hi FROM events GROUP BY event_type")
 def percentile_thresholds(spark, sf):
-    return _table(spark, sf, "events").groupBy("event_type").agg(F.percentile("value", F.lit(0.05)).alias("lo"), F.percentile("value", F.lit(0.9)).alias("hi"))
+    q = quantiles.exact_quantiles(_table(spark, sf, "events"), ["event_type"], "value", [0.05, 0.9])
+    at = lambda share: F.max(F.when(F.col("share") == share, F.col("value")))
+    return q.groupBy("event_type").agg(at(0.05).alias("lo"), at(0.9).alias("hi"))
 
 
 @query("SELECT event_id, (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) AS v, value > 0.5 * (min(value) OVER w + max(value) OVER w) AS above FROM events WINDOW w AS (PARTITION BY event_type)")
 def midrange_normalize(spark, sf):
-    w = Window.partitionBy("event_type")
-    lo, hi = F.min("value").over(w), F.max("value").over(w)
-    return _table(spark, sf, "events").select("event_id", ((F.col("value") - lo) / (hi - lo)).alias("v"), (F.col("value") > F.lit(0.5) * (lo + hi)).alias("above"))
+    """Ends of the range by a partial aggregate and a join; a window would sort every row of a type in one task."""
+    e = _table(spark, sf, "events").select("event_id", "event_type", "value")
+    ends = e.groupBy(F.col("event_type").alias("t")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    v, lo, hi = F.col("value"), F.col("lo"), F.col("hi")
+    return e.join(ends, e["event_type"].eqNullSafe(ends["t"])).select("event_id", ((v - lo) / (hi - lo)).alias("v"), (v > F.lit(0.5) * (lo + hi)).alias("above"))
 
 
 @query("SELECT lang AS item FROM documents UNION SELECT source FROM documents")
@@ -117,10 +122,18 @@ def moving_average(spark, sf):
     "WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), s AS (SELECT user_id, k, value AS m FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, s.m * 0.99 + e.value * 0.01 FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1) SELECT user_id, max(k) AS n, round(arg_max(m, k), 6) AS ewma FROM s GROUP BY user_id"
 )
 def ewma_fold(spark, sf):
-    """Exponential moving average of each user's values in time order, as a fold over the sorted list."""
-    seq = _table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
-    rest = F.slice("s", F.lit(2), F.size("s"))
-    return seq.select("user_id", F.size("s").cast("long").alias("n"), F.round(F.aggregate(rest, F.element_at("s", 1)["value"], lambda m, x: m * 0.99 + x["value"] * 0.01), 6).alias("ewma"))
+    """Exponential moving average of each user's values in time order, as a weighted sum over places from the end.
+
+    Places are made of counts by hour and of places within the hour, so no task gathers a user's whole history.
+    """
+    e = _table(spark, sf, "events").select("user_id", "ts", "event_id", "value", F.date_trunc("hour", "ts").alias("hour"))
+    hours = e.groupBy(F.col("user_id").alias("u"), F.col("hour").alias("h")).agg(F.count("*").alias("k"))
+    ahead = Window.partitionBy("u").orderBy(F.desc_nulls_last("h"))
+    hours = hours.select("u", "h", (F.sum("k").over(ahead) - F.col("k")).alias("later"), F.sum("k").over(Window.partitionBy("u")).alias("n"))
+    place = F.row_number().over(Window.partitionBy("user_id", "hour").orderBy(F.desc("ts"), F.desc("event_id"))) - 1
+    placed = e.withColumn("place", place).join(hours, F.col("user_id").eqNullSafe(F.col("u")) & F.col("hour").eqNullSafe(F.col("h"))).withColumn("from_end", F.col("place") + F.col("later"))
+    weight = F.pow(F.lit(0.99), F.col("from_end")) * F.when(F.col("from_end") == F.col("n") - 1, 1.0).otherwise(0.01)
+    return placed.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum(weight * F.col("value")), 6).alias("ewma"))
 
 
 @query("SELECT vec_id, dense_rank() OVER (ORDER BY label) - 1 AS code FROM embeddings")
@@ -131,10 +144,10 @@ def dense_renumber(spark, sf):
     return e.join(codes, "label").select("vec_id", "code")
 
 
-@query("SELECT o_custkey, o_orderkey, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS chunk, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) // 30 AS page FROM orders")
+@query("SELECT o_custkey, o_orderkey, ntile(4) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS chunk, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) // 30 AS page, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1) % 30 AS place FROM orders")
 def chunk_and_page(spark, sf):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return _table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.ntile(4).over(w).alias("chunk"), F.floor((F.row_number().over(w) - 1) / 30).alias("page"))
+    return _table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.ntile(4).over(w).alias("chunk"), F.floor((F.row_number().over(w) - 1) / 30).alias("page"), ((F.row_number().over(w) - 1) % 30).cast("long").alias("place"))
 
 
 @query("SELECT o_custkey, o_orderkey, list(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS grp FROM orders")
@@ -151,12 +164,14 @@ def top_by_cost(spark, sf):
 @query("WITH t AS (SELECT quantile_cont(value, 0.99) AS cut FROM events) SELECT event_id, value FROM events, t WHERE value >= cut")
 def percentile_cut(spark, sf):
     e = _table(spark, sf, "events")
-    return e.join(F.broadcast(e.agg(F.percentile("value", F.lit(0.99)).alias("cut"))), F.col("value") >= F.col("cut")).select("event_id", "value")
+    cut = quantiles.exact_quantiles(e, [], "value", [0.99]).select(F.col("value").alias("cut"))
+    return e.join(F.broadcast(cut), F.col("value") >= F.col("cut")).select("event_id", "value")  # one row
 
 
-@query("SELECT p_partkey, p_brand FROM part ORDER BY TRY_CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT) ASC NULLS LAST, p_partkey LIMIT 50")
+@query("SELECT p_partkey, p_brand FROM part ORDER BY TRY_CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INT) ASC NULLS LAST, p_partkey")
 def numeric_aware_sort(spark, sf):
-    return _table(spark, sf, "part").orderBy(F.regexp_extract("p_brand", "([0-9]+)$", 1).try_cast("int").asc_nulls_last(), "p_partkey").select("p_partkey", "p_brand").limit(50)
+    """All rows by the number that ends the column, those without one last."""
+    return _table(spark, sf, "part").orderBy(F.regexp_extract("p_brand", "([0-9]+)$", 1).try_cast("int").asc_nulls_last(), "p_partkey").select("p_partkey", "p_brand")
 
 
 def numeric_ranks(df, column: str, tie: str):
@@ -202,9 +217,10 @@ def numeric_functions(spark, sf):
     return _table(spark, sf, "events").select("event_id", F.round(numeric.sigmoid(v - 50), 9).alias("sigmoid"), F.round(numeric.character_cost(v / 1000), 6).alias("cost"), F.round(numeric.log_add(v, F.lit(50.0)), 6).alias("log_add"))
 
 
-@query("SELECT l.l_orderkey, l.l_linenumber, p.p_name FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE p.p_size >= 40")
+@query("SELECT l.l_orderkey, l.l_linenumber, p.p_name FROM lineitem l LEFT JOIN (SELECT * FROM part WHERE p_size >= 40) p ON l.l_partkey = p.p_partkey")
 def optional_sibling_join(spark, sf):
-    return _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(_table(spark, sf, "part").where("p_size >= 40"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_name")
+    """Every line with its optional sibling, null where there is none."""
+    return _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(_table(spark, sf, "part").where("p_size >= 40"), F.col("l_partkey") == F.col("p_partkey"), "left").select("l_orderkey", "l_linenumber", "p_name")
 
 
 @query("SELECT r_regionkey AS spec, n_nationkey AS variant, r_name || '/' || n_name AS name FROM region CROSS JOIN nation")

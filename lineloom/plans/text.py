@@ -54,8 +54,8 @@ KINDS = ("exact", "nospace", "spletdig", "letdig", "letters", "digits", "lnc")
 
 @query("SELECT doc_id, " + ", ".join(f"{projected_sql('text', k)} AS p_{k}" for k in KINDS) + " FROM documents")
 def text_project(spark, sf):
-    normal = _table(spark, sf, "documents").select("doc_id", text.nfc(F.col("text")).alias("t"))
-    return normal.select("doc_id", *(text.project_text(F.col("t"), k, compose=False).alias(f"p_{k}") for k in KINDS))
+    base = _table(spark, sf, "documents").select("doc_id", text.projection_base(F.col("text")).alias("t"))
+    return base.select("doc_id", *(text.project_normal(F.col("t"), k).alias(f"p_{k}") for k in KINDS))
 
 
 @query("SELECT doc_id, replace(text, '''''', '\"') AS text FROM documents")
@@ -119,10 +119,12 @@ def codec_build(spark, sf):
     return sequence.codec(_chars(spark, sf).where("ch > ' ' and ch <> '~'"))
 
 
-@query("SELECT DISTINCT ch, unicode(ch) AS packed FROM (" + CHARS_SQL + ") WHERE unicode(ch) < 65536")
+@query("SELECT DISTINCT ch, CASE WHEN unicode(ch) < 65536 THEN unicode(ch) END AS packed FROM (" + CHARS_SQL + ")")
 def class_pack(spark, sf):
-    ch = _chars(spark, sf).select("ch").distinct().where(F.ascii("ch") < 65536)
-    return ch.select("ch", text.pack4(F.col("ch")).alias("packed")).select(text.unpack4(F.col("packed")).alias("ch"), "packed")
+    """Every character packed and unpacked again; those beyond 16 bits can't be packed."""
+    ch = _chars(spark, sf).select("ch").distinct()
+    packed = ch.select("ch", text.pack4(F.col("ch")).alias("packed"))
+    return packed.select(F.coalesce(text.unpack4(F.col("packed")), "ch").alias("ch"), "packed")
 
 
 _PAD = "concat('__', " + replaced("line", text.LM_FOLDS) + ", '__')"

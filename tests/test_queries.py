@@ -11,7 +11,7 @@ import pytest
 from lineloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-EMPTY = {"html_table_rows"}
+EMPTY: set[str] = set()
 
 
 def norm(v):
