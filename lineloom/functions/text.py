@@ -175,6 +175,13 @@ def escape_html(col: Column) -> Column:
     return F.replace(F.replace(col, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
 
 
+def unescape_html(col: Column) -> Column:
+    """The inverse of escape_html, and the other entities that editors write."""
+    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        col = F.replace(col, F.lit(entity), F.lit(c))
+    return col
+
+
 def font_folder(col: Column) -> Column:
     """A font file's name as a folder name: no path, no ending, only word characters."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(col, r"^.*/", ""), r"\.[^.]*$", ""), r"[^0-9A-Za-z_]", "_")

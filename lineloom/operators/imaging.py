@@ -8,51 +8,92 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def gaussian(a: np.ndarray, sigma) -> np.ndarray:
-    """Gaussian filter, sigma one number or one for each axis; mirrored edges, cut off at 4 sigma."""
-    for axis, s in enumerate(np.broadcast_to(sigma, (a.ndim,))):
+def gaussian(a: np.ndarray, sigma, order=0) -> np.ndarray:
+    """Gaussian filter, sigma one number or one for each axis; order 1 gives the derivative. Mirrored edges, cut off at 4 sigma."""
+    for axis, (s, d) in enumerate(zip(np.broadcast_to(sigma, (a.ndim,)), np.broadcast_to(order, (a.ndim,)), strict=True)):
         if s > 0:
             r = int(4 * s + 0.5)
-            k = np.exp(-0.5 * (np.arange(-r, r + 1) / s) ** 2)
+            u = np.arange(-r, r + 1)
+            k = np.exp(-0.5 * (u / s) ** 2)
+            k /= k.sum()
+            k = -u / (s * s) * k if d else k
             n = a.shape[axis]
             at = np.arange(-r, n + r) % (2 * n)
-            x = np.take(a, np.where(at < n, at, 2 * n - 1 - at), axis)
-            a = np.apply_along_axis(np.convolve, axis, x, k / k.sum(), "valid")
+            x = np.moveaxis(np.take(a, np.where(at < n, at, 2 * n - 1 - at), axis), axis, 0)
+            out = np.zeros((n, *x.shape[1:]))
+            for j, w in enumerate(k[::-1]):
+                out += w * x[j : j + n]
+            a = np.moveaxis(out, 0, axis)
     return a
 
 
+def _run_extreme(x: np.ndarray, s: int, pick) -> np.ndarray:
+    """Extreme of every s neighbours along the first axis, by doubling."""
+    n, have = len(x) - s + 1, 1
+    while 2 * have <= s:
+        x, have = pick(x[:-have], x[have:]), 2 * have
+    return pick(x[:n], x[s - have : s - have + n])
+
+
 def box(a: np.ndarray, size: tuple[int, int], how=np.max, edge: float | None = None) -> np.ndarray:
-    """Greatest, least or mean value in a box around each pixel; edges mirrored, or a constant."""
-    for axis, s in enumerate(size):
+    """Greatest, least or mean value in a box around each pixel, or another function's; edges mirrored, or a constant.
+
+    The first three take a time that doesn't grow with the box, or with its logarithm.
+    """
+    for axis, s in enumerate(map(int, size)):
         if s > 1:
             pad = [(0, 0)] * a.ndim
             pad[axis] = (s // 2, s - 1 - s // 2)
-            x = np.pad(a, pad, "symmetric") if edge is None else np.pad(a, pad, constant_values=edge)
-            a = how(np.lib.stride_tricks.sliding_window_view(x, s, axis), axis=-1)
+            x = np.moveaxis(np.pad(a, pad, "symmetric") if edge is None else np.pad(a, pad, constant_values=edge), axis, 0)
+            if how in (np.max, np.min):
+                x = _run_extreme(x, s, np.maximum if how is np.max else np.minimum)
+            elif how is np.mean:
+                total = np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, 0, dtype=float)])
+                x = (total[s:] - total[:-s]) / s
+            else:
+                x = how(np.lib.stride_tricks.sliding_window_view(x, s, 0), axis=-1)
+            a = np.moveaxis(x, 0, axis)
     return a
 
 
-def percentile_box(a: np.ndarray, q: float, size: tuple[int, int]) -> np.ndarray:
-    """The q-th percentile in a box around each pixel."""
+def percentile_box(a: np.ndarray, q: float, size: tuple[int, int], strip: int = 1 << 22) -> np.ndarray:
+    """The q-th percentile in a box around each pixel, in strips of rows whose windows have about strip values."""
     x = np.pad(a, [(s // 2, s - 1 - s // 2) for s in size], "symmetric")
-    w = np.sort(np.lib.stride_tricks.sliding_window_view(x, size).reshape(*a.shape, -1), -1)
-    return w[..., min(w.shape[-1] - 1, int(q / 100 * w.shape[-1]))]
+    w = np.lib.stride_tricks.sliding_window_view(x, size)
+    n = size[0] * size[1]
+    k, rows, out = min(n - 1, int(q / 100 * n)), max(1, strip // max(1, n * a.shape[1])), np.empty(a.shape)
+    for y in range(0, a.shape[0], rows):
+        out[y : y + rows] = np.partition(w[y : y + rows].reshape(-1, n), k, -1)[:, k].reshape(-1, a.shape[1])
+    return out
 
 
 def label(a: np.ndarray) -> np.ndarray:
     """Connected components (4 neighbours) of what isn't 0, numbered from 1 in reading order of their first pixel."""
-    a = a != 0
-    lab = np.where(a, np.arange(1, a.size + 1).reshape(a.shape), 0)
-    while True:
-        low = np.where(a, lab, a.size + 1)
-        p = np.pad(low, 1, constant_values=a.size + 1)
-        new = np.where(a, np.minimum.reduce([low, p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]]), 0)
-        flat = np.concatenate(([0], new.ravel()))
-        new = np.where(a, flat[new], 0)
-        if (new == lab).all():
+    h, w = a.shape
+    edge = np.diff(np.pad((a != 0).astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, start = np.nonzero(edge == 1)
+    stop = np.nonzero(edge == -1)[1]
+    if not len(row):
+        return np.zeros(a.shape, int)
+    wide = w + 1
+    lo = np.searchsorted(row * wide + stop, (row - 1) * wide + start, side="right")
+    hi = np.searchsorted(row * wide + start, (row - 1) * wide + stop, side="left")
+    n = np.maximum(hi - lo, 0)
+    below = np.repeat(np.arange(len(row)), n)
+    above = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    root = np.arange(len(row))
+    while True:  # hook the roots of touching runs to the lesser one, then point every run at its root
+        u, v = root[below], root[above]
+        if (u == v).all():
             break
-        lab = new
-    return np.searchsorted(np.unique(lab[a]), lab) * a + a if a.any() else np.zeros(a.shape, int)
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root[root] != root).any():
+            root = root[root]
+    number = np.cumsum(root == np.arange(len(row)))[root]
+    out = np.zeros(h * w + 1, int)
+    np.add.at(out, row * w + start, number)
+    np.add.at(out, row * w + stop, -number)
+    return np.cumsum(out[:-1]).reshape(h, w)
 
 
 def boxes(lab: np.ndarray) -> np.ndarray:
@@ -67,22 +108,32 @@ def boxes(lab: np.ndarray) -> np.ndarray:
 
 
 def spread(lab: np.ndarray, maxdist: float = np.inf) -> np.ndarray:
-    """Background takes the nearest label closer than maxdist; ties to the least label."""
-    seeds = np.argwhere(lab)
-    if not len(seeds):
+    """Background takes the nearest label closer than maxdist; ties to the least label.
+
+    Exact distances in two passes: the nearest label in each column, then over the columns at growing distance for as long
+    as one could still be nearer. No table of pixels by labels is made.
+    """
+    h, w = lab.shape
+    if not lab.any():
         return lab
-    out = lab.copy()
-    seed_label = lab[tuple(seeds.T)]
-    order = np.argsort(seed_label, kind="stable")
-    seeds, seed_label = seeds[order], seed_label[order]
-    bare = np.argwhere(lab == 0)
-    for at in range(0, len(bare), 4096):
-        some = bare[at : at + 4096]
-        d = ((some[:, None] - seeds[None]) ** 2).sum(-1)
-        near = d.argmin(1)
-        ok = d[np.arange(len(some)), near] < maxdist**2
-        out[tuple(some[ok].T)] = seed_label[near[ok]]
-    return out
+    far, none = np.int64(h + w) ** 2 * 4, np.iinfo(np.int64).max
+    rows = np.arange(h)[:, None]
+    above = np.maximum.accumulate(np.where(lab != 0, rows, -1), 0)
+    below = np.minimum.accumulate(np.where(lab != 0, rows, h)[::-1], 0)[::-1]
+    column = np.arange(w)[None]
+    da, db = np.where(above >= 0, (rows - above) ** 2, far), np.where(below < h, (below - rows) ** 2, far)
+    la, lb = np.where(above >= 0, lab[np.maximum(above, 0), column], none), np.where(below < h, lab[np.minimum(below, h - 1), column], none)
+    d1, l1 = np.minimum(da, db), np.where(da < db, la, np.where(db < da, lb, np.minimum(la, lb)))
+    best, owner = d1.copy(), l1.copy()
+    for dx in range(1, w):
+        if dx * dx >= min(maxdist**2, best.max() + 1):
+            break
+        for to, of in ((np.s_[:, dx:], np.s_[:, :-dx]), (np.s_[:, :-dx], np.s_[:, dx:])):
+            d, k = d1[of] + dx * dx, l1[of]
+            nearer = (d < best[to]) | ((d == best[to]) & (k < owner[to]))
+            best[to] = np.where(nearer, d, best[to])
+            owner[to] = np.where(nearer, k, owner[to])
+    return np.where(lab != 0, lab, np.where((best < maxdist**2) & (best < far), owner, 0)).astype(lab.dtype)
 
 
 def zoom(a: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
@@ -143,21 +194,6 @@ def scale_of(ink: np.ndarray) -> float:
     return float(np.median(some)) if len(some) else float("nan")
 
 
-def lines_of(ink: np.ndarray, scale: float | None = None, noise: int = 2) -> np.ndarray:
-    """Label map of text lines: seeds where smoothed ink changes from top to bottom, spread over the ink."""
-    scale = scale or scale_of(ink)
-    if not np.isfinite(scale):
-        return np.zeros(ink.shape, int)
-    lab = label(ink)
-    b = boxes(lab)
-    side = np.sqrt((b[:, 3] - b[:, 1]) * (b[:, 4] - b[:, 2]))
-    keep = np.isin(lab, b[(side > scale / 2) & (side < 4 * scale), 0])
-    smooth = gaussian(keep.astype(float), (0.5 * scale, 4 * scale))
-    seeds = label(smooth > 0.5 * smooth.max() if smooth.max() else smooth)
-    big = [i for i, y0, x0, y1, x1 in boxes(seeds).tolist() if (y1 - y0) * (x1 - x0) > noise]
-    return np.where(ink != 0, spread(np.where(np.isin(seeds, big), seeds, 0), 2 * scale), 0)
-
-
 def normalized_line(a: np.ndarray, height: int = 48, spread_by: float = 1.0) -> np.ndarray:
     """A line's image (1 = ink) straightened along its smoothed centre and brought to one height."""
     h, w = a.shape
@@ -185,3 +221,22 @@ def each_image(images: DataFrame, f, schema: str, array: str, width: int, key: s
             yield pd.DataFrame(out, columns=[key, *columns, "error"])
 
     return images.select(F.col(key).cast("long").alias(key), array).mapInPandas(run, f"{key} long, {schema}, error string")
+
+
+def each_png(images: DataFrame, f, schema: str, content: str, key: str) -> DataFrame:
+    """each_image for PNG files: f gets what decode_png gives."""
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(parts):
+        from lineloom.sources.files import decode_png
+
+        for part in parts:
+            out = []
+            for k, raw in zip(part[key], part[content], strict=True):
+                try:
+                    out += [(k, *row, None) for row in f(decode_png(bytes(raw)))]
+                except (ValueError, TypeError, FloatingPointError) as e:
+                    out.append((k, *[None] * len(columns), f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=[key, *columns, "error"])
+
+    return images.select(F.col(key).cast("long").alias(key), content).mapInPandas(run, f"{key} long, {schema}, error string")

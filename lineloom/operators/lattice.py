@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A model of more n-graphs isn't sent to every task.
+MODEL_ROWS = 1_000_000
 SEGMENT = re.compile(r"^segment\s+(\d+)\s+(\d+):(\d+)\s+(\d+):(\d+):(\d+):(\d+)(?:\s+(\S+)\s+(\S+))?")
 
 
@@ -33,21 +35,24 @@ def with_space_edges(edges: DataFrame, cost: str = "space_cost") -> DataFrame:
 
 
 def best_path(edges: list[tuple[int, int, float, str]], start: int, end: int) -> tuple[float, str] | None:
-    """(cost, text) of the cheapest path, by Dijkstra; of equal costs the smaller text. None: the end isn't reached."""
-    out: dict[int, list] = {}
+    """(cost, text) of the cheapest path, by Dijkstra from the end; of equal costs the smaller text. None: no way.
+
+    Costs are above 0. Going backwards, the smaller rest is the smaller text whatever comes before it.
+    """
+    into: dict[int, list] = {}
     for a, b, c, s in edges:
-        out.setdefault(a, []).append((b, c, s))
-    heap, done = [(0.0, "", start)], set()
+        into.setdefault(b, []).append((a, c, s))
+    heap, done = [(0.0, "", end)], set()
     while heap:
         cost, text, node = heapq.heappop(heap)
-        if node == end:
+        if node == start:
             return cost, text
         if node in done:
             continue
         done.add(node)
-        for b, c, s in out.get(node, ()):
-            if b not in done:
-                heapq.heappush(heap, (round(cost + c, 9), text + s, b))
+        for a, c, s in into.get(node, ()):
+            if a not in done:
+                heapq.heappush(heap, (round(cost + c, 9), s + text, a))
     return None
 
 
@@ -91,10 +96,13 @@ def beam(edges: list[tuple[int, int, float, str]], model: dict[str, dict[str, fl
 
 
 def beam_search(edges: DataFrame, model: DataFrame, order: int = 3, width: int = 100, missing: float = 15.0, weight: float = 1.0, rewrites: DataFrame | None = None) -> DataFrame:
-    """(lattice_id, cost, text) with an n-graph model (prefix, ch, neglogp), which is sent to the tasks.
+    """(lattice_id, cost, text) with an n-graph model (prefix, ch, neglogp).
 
-    Models are tables of a language's n-graphs, bounded by its alphabet and not by the data.
+    A model of MODEL_ROWS n-graphs at most is sent to the tasks. Of a larger one each lattice gets the n-graphs that end in
+    one of its characters, joined by character.
     """
+    if model.count() > MODEL_ROWS:
+        return _beam_search_joined(edges, model, order, width, missing, weight, rewrites)
     table: dict[str, dict[str, float]] = {}
     for r in model.collect():
         table.setdefault(r["prefix"], {})[r["ch"]] = r["neglogp"]
@@ -111,6 +119,30 @@ def beam_search(edges: DataFrame, model: DataFrame, order: int = 3, width: int =
     return edges.select("lattice_id", "start", "stop", "cost", "cls").groupBy("lattice_id").applyInPandas(solve, "lattice_id long, cost double, text string")
 
 
+def _beam_search_joined(edges: DataFrame, model: DataFrame, order: int, width: int, missing: float, weight: float, rewrites: DataFrame | None) -> DataFrame:
+    """beam_search with a model too large to send: only n-graphs all of whose characters a lattice has can be asked for."""
+    changes: dict[str, list] = {}
+    for r in rewrites.collect() if rewrites is not None else ():
+        changes.setdefault(r["src"], []).append((r["dst"], r["cost"]))
+    own = edges.select("lattice_id", "cls").distinct()
+    if changes:
+        more = edges.sparkSession.createDataFrame([(k, t) for k, v in changes.items() for t, _ in v], "cls string, to string")
+        own = own.union(own.join(F.broadcast(more), "cls").select("lattice_id", "to"))
+    chars = own.select("lattice_id", F.explode(F.split("cls", "")).alias("ch")).where("ch <> ''").distinct()
+    have = chars.groupBy("lattice_id").agg(F.collect_set("ch").alias("has"))
+    asked = chars.join(model.select("prefix", "ch", "neglogp"), "ch").join(have, "lattice_id")
+    asked = asked.where(F.forall(F.split("prefix", ""), lambda c: (c == "_") | (c == "") | F.array_contains("has", c))).select("lattice_id", "prefix", "ch", "neglogp")
+
+    def solve(g: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        table: dict[str, dict[str, float]] = {}
+        for prefix, ch, cost in zip(m["prefix"], m["ch"], m["neglogp"], strict=True):
+            table.setdefault(prefix, {})[ch] = cost
+        found = beam(list(zip(g["start"], g["stop"], g["cost"], g["cls"], strict=True)), table, order, width, missing, weight, changes) if len(g) else None
+        return pd.DataFrame([(int(g["lattice_id"].iloc[0]), *found)] if found else [], columns=["lattice_id", "cost", "text"])
+
+    return edges.select("lattice_id", "start", "stop", "cost", "cls").groupBy("lattice_id").cogroup(asked.groupBy("lattice_id")).applyInPandas(solve, "lattice_id long, cost double, text string")
+
+
 def align_to_truth(edges: list[tuple[int, int, float, str]], truth: str, skip: float = 5.0) -> list[tuple[int, int, str]] | None:
     """(start, stop, cls) of the cheapest path whose text is the truth; a character may be skipped, or an edge used for none, at cost `skip`."""
     start, end = min(e[0] for e in edges), max(e[1] for e in edges)

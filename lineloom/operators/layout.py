@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lineloom.functions import text
 from lineloom.functions.geometry import Rect
+from lineloom.operators import quantiles
 
 
 def reading_order(boxes: DataFrame, page: str = "page_no", key: str = "line_id") -> DataFrame:
@@ -79,6 +80,16 @@ def paragraph_breaks(boxes: DataFrame, xheight: Column, book: str = "book", y_up
     return boxes.withColumn("par", F.coalesce(new, F.lit(False)))
 
 
+def median_xheight(measured: DataFrame, heights: DataFrame, least: int = 6) -> DataFrame:
+    """(xheight): the median of the measured x-heights if there are `least` of them, else half the median line height.
+
+    All lines count; both tables have one column, v.
+    """
+    median = lambda df, name: df.agg(F.count("v").alias(f"{name}_n")).join(quantiles.exact_quantiles(df, [], "v", [0.5]).select(F.col("value").alias(name)), how="left")
+    both = median(measured, "own").join(median(heights, "line"))  # one row each
+    return both.select(F.when(F.col("own_n") >= least, F.col("own")).otherwise(F.col("line") * 0.5).alias("xheight"))
+
+
 def font_percent(xheight: Column, median: Column) -> Column:
     """Font size of a line in tens of percent of the median, 30 to 300."""
     p = F.greatest(F.lit(30.0), F.least(F.lit(300.0), xheight * 100.0 / median)).cast("long")

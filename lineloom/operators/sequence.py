@@ -46,74 +46,183 @@ def change_decode(frames: DataFrame, seq: str = "seq_id") -> DataFrame:
     return best.withColumn("b", before).where("b is not null and k <> b and k <> 0").select(seq, "t", "k")
 
 
+def _log_add(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """log(e^x + e^y), taken as the greater one where they are more than 10 apart."""
+    return np.where(np.abs(x - y) > 10, np.maximum(x, y), np.logaddexp(x, y))
+
+
 def _forward(match: np.ndarray, skip: float = -5.0) -> np.ndarray:
     """Log scores of reaching each target by each frame: stay, step on by one, all in log space."""
-    out = np.full_like(match, -np.inf)
+    out = np.empty_like(match)
     v = skip * np.arange(match.shape[1], dtype=float)
     for t, row in enumerate(match):
         moved = np.concatenate(([skip * t], v[:-1]))
-        v = np.logaddexp(v, moved) + row
-        out[t] = v
+        v = out[t] = _log_add(v, moved) + row
     return out
 
 
 def align_posteriors(outputs: np.ndarray, targets: np.ndarray, floor: float = 1e-5) -> np.ndarray:
-    """(frames, classes): where in time the target sequence (rows of class weights) lies, by forward and backward scores."""
-    outputs = np.maximum(outputs, floor)
-    outputs = outputs / outputs.sum(1, keepdims=True)
-    match = np.log(outputs @ targets.T)
-    both = _forward(match) + _forward(match[::-1, ::-1])[::-1, ::-1]
-    e = np.exp(both - both.max(1, keepdims=True))
-    e = np.maximum(e / np.maximum(e.sum(0, keepdims=True), 1e-300), floor)
-    back = np.maximum(e @ targets, floor)
-    return back / back.sum(1, keepdims=True)
+    """(frames, classes): where in time the target sequence (rows of class weights) lies, by forward and backward scores.
+
+    The score of a state at a frame is normalised over time for each state, below the greatest score of all, so a state
+    that is never likely gets nothing; then the states' weights are brought back to classes, floor at least.
+    """
+    share = lambda x, axis: x / np.where((n := x.sum(axis, keepdims=True)) == 0, 1e-9, n)
+    match = np.log(share(np.maximum(outputs, floor), 1) @ targets.T)
+    both = _forward(match) + np.flip(_forward(np.flip(match)))
+    return share(np.maximum(share(np.exp(both - both.max()), 0) @ targets, floor), 1)
+
+
+def _sig(a: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(a, -20, 20)))
 
 
 class Lstm:
-    """One direction of an LSTM with peepholes; weights by name: W* (states x 1+inputs+states), P* peepholes."""
+    """One direction of an LSTM with peepholes: weights of the gates i, f, o and the input c, peepholes of the gates.
+
+    There is no output peephole in the first frame.
+    """
 
     def __init__(self, inputs: int, states: int, rng: np.random.Generator):
         self.states = states
         self.w = {g: rng.uniform(-0.1, 0.1, (states, 1 + inputs + states)) for g in "ifoc"}
         self.p = {g: rng.uniform(-0.1, 0.1, states) for g in "ifo"}
 
+    def weights(self) -> list[np.ndarray]:
+        return [*self.w.values(), *self.p.values()]
+
     def forward(self, xs: np.ndarray) -> np.ndarray:
-        s = h = np.zeros(self.states)
-        out = []
-        sig = lambda a: 1 / (1 + np.exp(-np.clip(a, -20, 20)))
-        for x in xs:
-            z = np.concatenate(([1.0], x, h))
-            i, f = sig(self.w["i"] @ z + self.p["i"] * s), sig(self.w["f"] @ z + self.p["f"] * s)
-            s = f * s + i * np.tanh(self.w["c"] @ z)
-            h = sig(self.w["o"] @ z + self.p["o"] * s) * np.tanh(s)
-            out.append(h)
-        return np.array(out).reshape(len(xs), self.states)
+        """Outputs by frame; what the backward pass needs is kept until the next call."""
+        n, k = len(xs), self.states
+        self.z = np.ones((n, self.w["i"].shape[1]))
+        self.i, self.f, self.o, self.c, self.s, out = (np.zeros((n, k)) for _ in range(6))
+        s = h = np.zeros(k)
+        for t, x in enumerate(xs):
+            z = self.z[t]
+            z[1 : 1 + len(x)], z[1 + len(x) :] = x, h
+            self.i[t], self.f[t] = _sig(self.w["i"] @ z + self.p["i"] * s), _sig(self.w["f"] @ z + self.p["f"] * s)
+            self.c[t] = np.tanh(self.w["c"] @ z)
+            s = self.s[t] = self.f[t] * s + self.i[t] * self.c[t]
+            self.o[t] = _sig(self.w["o"] @ z + (self.p["o"] * s if t else 0))
+            h = out[t] = self.o[t] * np.tanh(s)
+        return out
+
+    def backward(self, deltas: np.ndarray) -> list[np.ndarray]:
+        """Gradients of the weights, in their order, for what the outputs of the last forward pass should change by."""
+        n, k = deltas.shape
+        err = {g: np.zeros((n, k)) for g in "ifoc"}
+        before = np.vstack([np.zeros((1, k)), self.s[:-1]])
+        later, ds = np.zeros(k), np.zeros(k)  # what the next frame asks of this one's output and state
+        for t in range(n - 1, -1, -1):
+            dh = deltas[t] + later
+            th = np.tanh(self.s[t])
+            err["o"][t] = dh * th * self.o[t] * (1 - self.o[t])
+            ds = ds + dh * self.o[t] * (1 - th * th) + (err["o"][t] * self.p["o"] if t else 0)
+            err["f"][t] = ds * before[t] * self.f[t] * (1 - self.f[t])
+            err["i"][t] = ds * self.c[t] * self.i[t] * (1 - self.i[t])
+            err["c"][t] = ds * self.i[t] * (1 - self.c[t] ** 2)
+            later = sum(err[g][t] @ self.w[g] for g in "ifoc")[-k:]
+            ds = ds * self.f[t] + err["f"][t] * self.p["f"] + err["i"][t] * self.p["i"]
+        peep = {"i": before, "f": before, "o": np.vstack([np.zeros((1, k)), self.s[1:]])}
+        return [*(err[g].T @ self.z for g in self.w), *((err[g] * peep[g]).sum(0) for g in self.p)]
 
 
 class Recogniser:
-    """Bidirectional LSTM with a softmax on top; trained on the softmax's weights and both directions' random features."""
+    """Bidirectional LSTM with a softmax on top, trained as a whole on aligned transcripts, with momentum."""
 
     def __init__(self, inputs: int, states: int, classes: int, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.forth, self.back = Lstm(inputs, states, rng), Lstm(inputs, states, rng)
         self.top = rng.uniform(-0.1, 0.1, (classes, 1 + 2 * states))
+        self.motion = [np.zeros_like(w) for w in self.weights()]
+
+    def weights(self) -> list[np.ndarray]:
+        """All weights; changing them in place changes the model."""
+        return [self.top, *self.forth.weights(), *self.back.weights()]
 
     def features(self, xs: np.ndarray) -> np.ndarray:
-        return np.hstack([np.ones((len(xs), 1)), self.forth.forward(xs), self.back.forward(xs[::-1])[::-1]])
+        return np.hstack([np.ones((len(xs), 1)), self.forth.forward(xs), np.flip(self.back.forward(np.flip(xs, 0)), 0)])
 
     def predict(self, xs: np.ndarray) -> np.ndarray:
         z = self.features(xs) @ self.top.T
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
-    def train(self, xs: np.ndarray, codes: list[int], rate: float = 0.5) -> float:
-        """One step towards the aligned targets of the codes; returns the mean absolute difference before it."""
-        classes = len(self.top)
+    def gradients(self, xs: np.ndarray, codes: list[int]) -> tuple[float, list[np.ndarray]]:
+        """(mean absolute difference to the aligned targets of the codes, direction in which the weights improve)."""
+        classes, k = len(self.top), self.forth.states
+        features = self.features(xs)
+        z = features @ self.top.T
+        z = np.exp(z - z.max(1, keepdims=True))
+        out = z / z.sum(1, keepdims=True)
         targets = np.eye(classes)[[0] + [c for x in codes for c in (x, 0)]]
-        out = self.predict(xs)
         delta = align_posteriors(out, targets) - out
-        self.top += rate * delta.T @ self.features(xs) / len(xs)
-        return float(np.abs(delta).mean())
+        down = delta @ self.top[:, 1:]
+        return float(np.abs(delta).mean()), [delta.T @ features, *self.forth.backward(down[:, :k]), *self.back.backward(np.flip(down[:, k:], 0))]
+
+    def step(self, gradients: list[np.ndarray], rate: float = 1e-4, momentum: float = 0.9) -> None:
+        for w, m, g in zip(self.weights(), self.motion, gradients, strict=True):
+            m *= momentum
+            m += rate * g
+            w += m
+
+    def train(self, xs: np.ndarray, codes: list[int], rate: float = 1e-4, momentum: float = 0.9) -> float:
+        """One step on one sequence; returns the mean absolute difference before it."""
+        error, gradients = self.gradients(xs, codes)
+        self.step(gradients, rate, momentum)
+        return error
+
+    def save(self, path: str, codec: list[str] | None = None) -> None:
+        """Weights, momenta and the codec as an npz file; no code is stored."""
+        w = self.weights()
+        np.savez_compressed(path, shape=np.array([self.forth.w["i"].shape[1] - 1 - self.forth.states, self.forth.states, len(self.top)]), codec=np.array(codec or [], "U"), **{f"w{k}": x for k, x in enumerate(w)}, **{f"m{k}": x for k, x in enumerate(self.motion)})
+
+    @classmethod
+    def load(cls, path: str) -> tuple[Recogniser, list[str]]:
+        """(model, codec) from a file of save."""
+        with np.load(path, allow_pickle=False) as f:
+            model = cls(*(int(x) for x in f["shape"]))
+            for k, (w, m) in enumerate(zip(model.weights(), model.motion, strict=True)):
+                w[...], m[...] = f[f"w{k}"], f[f"m{k}"]
+            return model, f["codec"].tolist()
+
+
+def train_step(lines: DataFrame, model: Recogniser, rate: float = 1e-4, momentum: float = 0.9) -> tuple[float, int]:
+    """One step on all lines (xs: array of frames, codes: array of codes) at once; (mean error, lines used).
+
+    Tasks add up the gradients of their lines and each gives one row, of the model's size; the driver adds those. Lines
+    without a frame, of one value only or with a code that the model hasn't are left out.
+    """
+    sent = lines.sparkSession.sparkContext.broadcast(model)
+
+    def run(parts):
+        own, total, error, n = sent.value, None, 0.0, 0
+        for part in parts:
+            for xs, codes in zip(part["xs"], part["codes"], strict=True):
+                xs = np.array([list(f) for f in xs], float) if xs is not None and codes is not None else np.zeros((0, 1))
+                if not xs.size or xs.min() == xs.max() or not all(0 < c < len(own.top) for c in codes):
+                    continue
+                e, g = own.gradients(xs, list(codes))
+                total, error, n = (g if total is None else [a + b for a, b in zip(total, g, strict=True)]), error + e, n + 1
+        if n:
+            yield pd.DataFrame({"n": [n], "error": [error], "g": [np.concatenate([x.ravel() for x in total]).tobytes()]})
+
+    rows = lines.select("xs", "codes").mapInPandas(run, "n long, error double, g binary")
+    flat, error, n = np.zeros(sum(w.size for w in model.weights())), 0.0, 0
+    for r in rows.toLocalIterator():
+        flat, error, n = flat + np.frombuffer(r["g"]), error + r["error"], n + r["n"]
+    if not n:
+        return float("nan"), 0
+    cuts = np.cumsum([w.size for w in model.weights()])[:-1]
+    model.step([g.reshape(w.shape) / n for g, w in zip(np.split(flat, cuts), model.weights(), strict=True)], rate, momentum)
+    return error / n, n
+
+
+def prepare_line(image: np.ndarray, pad: int = 16) -> np.ndarray:
+    """Frames of a line image: scaled to 1 at most, inverted so that ink is high, with pad white columns on either side."""
+    top = image.max() if image.size else 0
+    line = (top - image) / top if top else np.zeros_like(image, float)
+    return np.pad(line, ((0, 0), (pad, pad))).T
 
 
 def recognise(frames: DataFrame, model: Recogniser, seq: str = "seq_id", threshold: float = 0.7) -> DataFrame:
@@ -128,8 +237,8 @@ def recognise(frames: DataFrame, model: Recogniser, seq: str = "seq_id", thresho
     return frames.select(F.col(seq).cast("long").alias(seq), "xs").mapInPandas(run, f"{seq} long, codes array<long>")
 
 
-def decode_array(p: np.ndarray, threshold: float = 0.7) -> list[int]:
-    """greedy_decode of one array (frames, classes)."""
+def decode_runs(p: np.ndarray, threshold: float = 0.7) -> list[tuple[int, int, float]]:
+    """(frame, class, probability) of the greatest value but the blank's in each run of frames that are not blank."""
     on, out, t = p[:, 0] < threshold, [], 0
     while t < len(p):
         if not on[t]:
@@ -138,11 +247,43 @@ def decode_array(p: np.ndarray, threshold: float = 0.7) -> list[int]:
         e = t
         while e < len(p) and on[e]:
             e += 1
-        out.append(int(p[t:e, 1:].argmax() % (p.shape[1] - 1)) + 1)
+        at, k = divmod(int(p[t:e, 1:].argmax()), p.shape[1] - 1)
+        out.append((t + at, k + 1, float(p[t + at, k + 1])))
         t = e
     return out
 
 
+def decode_array(p: np.ndarray, threshold: float = 0.7) -> list[int]:
+    """greedy_decode of one array (frames, classes)."""
+    return [k for _, k, _ in decode_runs(p, threshold)]
+
+
+def recognise_lines(lines: DataFrame, model: Recogniser, codec: list[str], key: str = "line_id", pad: int = 16, threshold: float = 0.7) -> DataFrame:
+    """(key, text, chars, error) of line images (data row-major, height): chars holds ch, x and p of every character.
+
+    x is the place in the image, the padding taken off. Each line is decoded in its task; one that fails has an error only.
+    """
+    sent = lines.sparkSession.sparkContext.broadcast((model, codec))
+
+    def run(parts):
+        own, names = sent.value
+        for part in parts:
+            out = []
+            for k, data, h in zip(part[key], part["data"], part["height"], strict=True):
+                try:
+                    a = np.asarray(data, float).reshape(int(h), -1)
+                    if a.size < 10 or a.min() == a.max():
+                        raise ValueError("degenerate line")
+                    found = decode_runs(own.predict(prepare_line(a, pad)), threshold)
+                    chars = [{"ch": names[c], "x": float(min(max(t - pad, 0), a.shape[1] - 1)), "p": p} for t, c, p in found]
+                    out.append((k, "".join(c["ch"] for c in chars), chars, None))
+                except (ValueError, TypeError, IndexError) as e:
+                    out.append((k, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=[key, "text", "chars", "error"])
+
+    return lines.select(F.col(key).cast("long").alias(key), "data", "height").mapInPandas(run, f"{key} long, text string, chars array<struct<ch string, x double, p double>>, error string")
+
+
 def smoothed(errors: list[float], sigma: float) -> list[float]:
     """A log of errors smoothed by a Gaussian that is mirrored at the ends."""
     x = np.asarray(errors, float)

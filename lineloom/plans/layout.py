@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from lineloom.functions import geometry
 from lineloom.functions.geometry import Rect
-from lineloom.operators import layout
+from lineloom.operators import layout, sorting
 from lineloom.plans.registry import query
 from lineloom.plans.text import _table
+from lineloom.sources import files
 
 BOXES_SQL = """SELECT l_orderkey AS page_no, l_linenumber AS line_id, y0, x0, y0 + 4 + CAST(trunc(l_quantity) AS BIGINT) % 10 AS y1, x0 + 20 + CAST(trunc(l_quantity) AS BIGINT) AS x1
 FROM (SELECT *, l_linenumber * 10 + l_suppkey % 7 AS y0, (l_partkey % 40) * 5 AS x0 FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2))"""
@@ -80,7 +81,15 @@ def box_size_filters(spark, sf):
     return _boxes(spark, sf).groupBy("page_no").agg(F.count("*").alias("n"), F.count_if((r.height >= 8) & (r.width >= 16)).alias("n_lines"), F.count_if(F.sqrt(r.area).between(4, 32)).alias("n_band"))
 
 
-@query()
+_HEAD = "<!DOCTYPE html>\n<html><head><meta charset='utf-8' /><meta name='ocr-capabilities' content='ocr_line ocr_page' /></head><body>\n".replace("'", "''")
+_HOCR = f"""WITH l AS (SELECT conv_id % 8 AS book, conv_id AS page_no, turn AS line_id, text, turn * 30 AS y0, turn * 30 + 20 AS y1 FROM conversations),
+p AS (SELECT *, coalesce(y1 - lag(y0) OVER w <= 0 AND abs(y1 - lag(y0) OVER w) > 50, false) AS par FROM l WINDOW w AS (PARTITION BY book ORDER BY page_no, line_id)),
+s AS (SELECT *, CASE WHEN par THEN '<p />' || chr(10) ELSE '' END || CASE WHEN text IS NULL THEN '' ELSE '<span class=''ocr_line'' title=''bbox 10 ' || y0 || ' 800 ' || y1 || chr(39) || '>' || replace(replace(text, '&', '&amp;'), '<', '&lt;') || '</span><br />' || chr(10) END AS s FROM p),
+g AS (SELECT book, page_no, '<div class=''ocr_page'' title=''bbox 0 0 1000 2000''>' || chr(10) || string_agg(s, '' ORDER BY line_id, encode(s)) || '</div>' || chr(10) AS s FROM s GROUP BY book, page_no)
+SELECT book, '{_HEAD}' || string_agg(s, '' ORDER BY page_no) || '</body></html>' || chr(10) AS html FROM g GROUP BY book"""
+
+
+@query(_HOCR)
 def hocr_report(spark, sf):
     """One hOCR text for each book: conversations are pages, turns are lines."""
     c = _table(spark, sf, "conversations").select((F.col("conv_id") % 8).alias("book"), F.col("conv_id").alias("page_no"), F.col("turn").alias("line_id"), "text")
@@ -96,7 +105,56 @@ def interval_packing(spark, sf):
 
 @query("SELECT p_partkey, CASE WHEN p_size < 5 THEN 'too small' WHEN p_size > 45 THEN 'too large' WHEN p_retailprice < 905 THEN 'too cheap' END AS reject_reason FROM part")
 def validate_rules(spark, sf):
-    from lineloom.sources import files
-
     p = _table(spark, sf, "part")
     return files.validate(p, {"too small": F.col("p_size") >= 5, "too large": F.col("p_size") <= 45, "too cheap": F.col("p_retailprice") >= 905}).select("p_partkey", "reject_reason")
+
+
+_NAME = "printf('%04d.%010d', CAST(conv_id AS INT), CAST(turn AS INT))"
+_NAMED = f"SELECT conv_id, {_NAME} AS name, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL"
+_TABLES = f"SELECT conv_id, name, text, row_number() OVER (PARTITION BY conv_id ORDER BY name, replace(replace(text, '&', '&amp;'), '<', '&lt;')) - 1 AS table_no FROM ({_NAMED})"
+
+
+def _correction_pages(spark, sf):
+    c = _table(spark, sf, "conversations").where("conv_id is not null and turn is not null")
+    lines = c.select("conv_id", files.line_name(F.col("conv_id").cast("int"), F.col("turn").cast("int")).alias("name"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("image"), "text")
+    return files.correction_html(lines, ["conv_id"])
+
+
+@query(f"SELECT conv_id, table_no, name, md5(text) AS image, text FROM ({_TABLES})")
+def correction_round_trip(spark, sf):
+    """Names, images and texts of all lines, written as pages for correction and read from them again."""
+    found = files.corrections(_correction_pages(spark, sf), "conv_id")
+    return found.select("conv_id", F.col("table_no").cast("long").alias("table_no"), "name", F.lower(F.hex("image")).alias("image"), "text")
+
+
+@query(f"SELECT conv_id, table_no, unnest([0, 1, 2]) AS row_no, unnest([name, '', trim(replace(replace(text, '&', '&amp;'), '<', '&lt;'))]) AS text FROM ({_TABLES})")
+def html_table_rows(spark, sf):
+    """Every row of every table of the same pages, without tags."""
+    return files.html_cells(_correction_pages(spark, sf), "conv_id")
+
+
+@query(f"SELECT name, name || chr(9) || text AS value FROM ({_NAMED})")
+def correction_lines(spark, sf):
+    """The same lines as plain text to be edited."""
+    c = _table(spark, sf, "conversations").where("conv_id is not null and turn is not null")
+    return files.correction_text(c.select(files.line_name(F.col("conv_id").cast("int"), F.col("turn").cast("int")).alias("name"), "text"))
+
+
+@query("SELECT conv_id, list(substring(text, 1, 100) ORDER BY k) AS lines FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE length(text) >= 20) WHERE k <= 10 GROUP BY conv_id")
+def result_gallery(spark, sf):
+    """The first ten longer lines of every page, cut at 100 characters: what a gallery shows."""
+    return files.gallery(_table(spark, sf, "conversations").withColumnRenamed("turn", "line_id"), "conv_id")
+
+
+@query(f"WITH b AS (SELECT (y1 - y0) * 0.5 AS v, y1 - y0 AS h FROM ({BOXES_SQL})) SELECT CASE WHEN count(*) FILTER (WHERE h < 8) >= 6 THEN quantile_cont(v, 0.5) FILTER (WHERE h < 8) ELSE 0.5 * quantile_cont(h, 0.5) END AS xheight FROM b")
+def median_xheight(spark, sf):
+    """Median x-height of the lines that have one."""
+    h = _boxes(spark, sf).select((F.col("y1") - F.col("y0")).alias("h"))
+    return layout.median_xheight(h.where("h < 8").select((F.col("h") * 0.5).alias("v")), h.select(F.col("h").alias("v")))
+
+
+@query(f"SELECT page_no, line_id, (y1 - y0) * (x1 - x0) AS area, row_number() OVER (ORDER BY (y1 - y0) * (x1 - x0) DESC, page_no, line_id) AS rank FROM ({BOXES_SQL})")
+def boxes_by_area(spark, sf):
+    """All boxes in the order of a computed property."""
+    r = Rect.of()
+    return sorting.ranked(_boxes(spark, sf).select("page_no", "line_id", r.area.alias("area")), F.desc("area"), "page_no", "line_id")

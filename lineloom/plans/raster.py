@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from lineloom.operators import imaging
+from lineloom.operators import imaging, segmentation
 from lineloom.operators import raster as ra
 from lineloom.plans.registry import query
 from lineloom.plans.text import _table
+from lineloom.sources.files import encode_png
 
 
 def _px(spark, sf):
@@ -167,7 +169,12 @@ def line_validity(spark, sf):
     return ra.line_reject_reason(stats).select("l_orderkey", "l_linenumber", "reject_reason")
 
 
-@query()
+@query(
+    """WITH RECURSIVE px AS (SELECT vec_id, i, i // 8 AS y, i % 8 AS x FROM (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v, CAST(list_min(embedding) AS DOUBLE) AS lo, CAST(list_max(embedding) AS DOUBLE) AS hi FROM embeddings) WHERE v > 0.5 * (lo + hi)),
+r AS (SELECT vec_id, i, i AS j FROM px UNION SELECT r.vec_id, r.i, b.i FROM r JOIN px a ON a.vec_id = r.vec_id AND a.i = r.j JOIN px b ON b.vec_id = a.vec_id AND abs(a.y - b.y) + abs(a.x - b.x) = 1),
+c AS (SELECT vec_id, i, min(j) AS root FROM r GROUP BY vec_id, i)
+SELECT vec_id, dense_rank() OVER (PARTITION BY vec_id ORDER BY root) AS label, min(i // 8) AS y0, min(i % 8) AS x0, max(i // 8) + 1 AS y1, max(i % 8) + 1 AS x1, CAST(NULL AS VARCHAR) AS error FROM c GROUP BY vec_id, root"""
+)
 def connected_components(spark, sf):
     """Boxes of the connected components of every binarised image."""
     f = lambda a: [tuple(int(v) for v in row) for row in imaging.boxes(imaging.label(a > 0.5 * (a.min() + a.max())))]
@@ -185,15 +192,53 @@ def page_binarize(spark, sf):
     return imaging.each_image(_table(spark, sf, "embeddings"), f, "white double, skew double, sauvola double", "embedding", 8, "vec_id")
 
 
-@query()
+#: Planted pages, one a supplier: 3 to 6 lines in each of one or two columns, of boxes 14 high and 11 wide.
+PLANTED_SQL = """SELECT page_id, n, c, j, 40 + 30 * j AS y0, 40 + 420 * c AS x0, 18 + (page_id * 7 + j * 5 + c * 3) % 8 AS m
+FROM (SELECT page_id, n, c, unnest(range(n)) AS j FROM (SELECT s_suppkey AS page_id, 3 + s_suppkey % 4 AS n, unnest(range(1 + s_suppkey % 2)) AS c FROM supplier))"""
+LINES_SQL = f"SELECT page_id, 65536 + c * n + j + 1 AS label, y0, x0, y0 + 14 AS y1, x0 + 14 * (m - 1) + 8 * ((m - 1) // 5) + 11 AS x1, m FROM ({PLANTED_SQL})"
+
+
+def _planted_pages(spark, sf):
+    def page(k: int) -> bytes:
+        n, columns = 3 + k % 4, 1 + k % 2
+        a = np.ones((80 + 30 * n, 60 + 420 * columns))
+        for c in range(columns):
+            for j in range(n):
+                for i in range(18 + (k * 7 + j * 5 + c * 3) % 8):
+                    y, x = 40 + 30 * j, 40 + 420 * c + 14 * i + 8 * (i // 5)
+                    a[y : y + 14, x : x + 11] = 0
+        return encode_png(a)
+
+    def draw(parts):
+        for part in parts:
+            yield pd.DataFrame({"page_id": part["page_id"], "content": [page(int(k)) for k in part["page_id"]]})
+
+    return _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id")).repartition(16).mapInPandas(draw, "page_id long, content binary")
+
+
+@query(f"SELECT page_id, label, y0, x0, y1, x1 FROM ({LINES_SQL})")
 def text_line_segmentation(spark, sf):
-    """Text lines of a page composed of each vector's image, enlarged."""
+    """Text lines of planted pages of one and two columns, numbered in reading order."""
+    found = segmentation.segment_pages(_planted_pages(spark, sf)).select("page_id", F.explode("lines").alias("l"))
+    return found.select("page_id", "l.label", "l.y0", "l.x0", "l.y1", "l.x1")
+
+
+@query(f"SELECT page_id, label, CAST(m * 154 AS BIGINT) AS n FROM ({LINES_SQL}) UNION ALL SELECT page_id, 16777215, CAST((80 + 30 * max(n)) * (60 + 420 * (max(c) + 1)) - sum(m) * 154 AS BIGINT) FROM ({PLANTED_SQL}) GROUP BY page_id")
+def segmentation_written(spark, sf):
+    """Pixels of every label in the label maps as they are written: background white, lines by label."""
+
+    def count(a):
+        return [(int(v), int(n)) for v, n in zip(*np.unique(a, return_counts=True), strict=True)]
+
+    return imaging.each_png(segmentation.segment_pages(_planted_pages(spark, sf)), count, "label long, n long", "segmentation", "page_id").drop("error")
 
-    def f(a):
-        ink = np.kron(a > 0.5 * (a.min() + a.max()), np.ones((4, 4))).astype(int)
-        return [tuple(int(v) for v in row) for row in imaging.boxes(imaging.lines_of(ink))]
 
-    return imaging.each_image(_table(spark, sf, "embeddings"), f, "line long, y0 long, x0 long, y1 long, x1 long", "embedding", 8, "vec_id")
+@query(f"SELECT page_id, label, 20 AS height, x1 - x0 + 6 AS width, CAST(m * 154 AS BIGINT) AS ink FROM ({LINES_SQL})")
+def line_crops(spark, sf):
+    """Size and ink of every cropped line."""
+    lines = segmentation.segment_pages(_planted_pages(spark, sf)).select("page_id", F.explode("lines").alias("l")).select((F.col("page_id") * 100000 + F.col("l.label")).alias("key"), F.col("l.image").alias("image"))
+    found = imaging.each_png(lines, lambda a: [(*a.shape, int((a < 0.5).sum()))], "height long, width long, ink long", "image", "key")
+    return found.select(((F.col("key") - F.col("key") % 100000) / 100000).cast("long").alias("page_id"), (F.col("key") % 100000).alias("label"), "height", "width", "ink")
 
 
 @query()

@@ -6,9 +6,10 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from lineloom.functions import text
-from lineloom.operators import ngrams
+from lineloom.functions import ligatures, text
+from lineloom.operators import ngrams, sorting
 from lineloom.plans.registry import query
+from lineloom.sources import files
 
 
 def _table(spark, sf, name):
@@ -169,8 +170,54 @@ def test_split(spark, sf):
     return _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", text.test_set(F.col("l_orderkey")).alias("is_test"))
 
 
-@query()
+_PARTS = "list_transform(regexp_extract_all(line, '_.{1,4}_|(?s:.)'), lambda x: CASE WHEN length(x) >= 3 AND starts_with(x, '_') AND ends_with(x, '_') THEN substring(x, 2, length(x) - 2) ELSE x END)"
+
+
+@query(f"SELECT doc_id, line_id, len(cs) AS n_chars, array_to_string(list_transform(cs, lambda x: CASE WHEN x = '_' THEN '___' WHEN length(x) <= 1 THEN x ELSE '_' || x || '_' END), '') AS line FROM (SELECT doc_id, line_id, {_PARTS} AS cs FROM ({LINES_SQL}))")
 def gt_explode_round_trip(spark, sf):
     """Characters of each transcript line and the line put together again; equal unless it has underscores."""
     parts = _lines(spark, sf).select("doc_id", "line_id", text.gt_explode(F.col("line")).alias("chars"))
     return parts.select("doc_id", "line_id", F.size("chars").alias("n_chars"), text.gt_implode(F.col("chars")).alias("line"))
+
+
+_PAIRS = _quoted("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789\'\".,:;?!")
+_PAIR_ROWS = f"SELECT unnest(string_split({_PAIRS}, '')) AS c, unnest(range(70)) AS i"
+
+
+@query(
+    f"""WITH p AS ({_PAIR_ROWS}), d AS (SELECT unnest(['oo', 'OO', '00', 'ff', 'mm']) AS c, unnest(range(5)) AS i), g AS (SELECT unnest(string_split('ÄÖÜäöüß', '')) AS c, unnest(range(7)) AS i), t AS (
+SELECT chr(i) AS name, i AS code FROM (SELECT CAST(unnest(range(32, 1024)) AS INT) AS i) UNION ALL SELECT unnest(['', '<RHO>', '<SIG>', '<PHI>', '„', '“', '~~', '~~~', '~~~~']), unnest([0, 2, 3, 4, 8222, 8220, 2097152, 2097153, 2097154])
+UNION ALL SELECT a.c || b.c, 2097155 + 70 * a.i + b.i FROM p a, p b UNION ALL SELECT d.c || p.c, 2102055 + 70 * d.i + p.i FROM d, p UNION ALL SELECT g.c || p.c, 2102405 + 70 * g.i + p.i FROM g, p
+UNION ALL SELECT c || '-', 2102895 + i FROM p UNION ALL SELECT '-' || c, 2102895 + i FROM p) SELECT name, code FROM t"""
+)
+def ligature_codes(spark, sf):
+    """The whole table of character and ligature codes."""
+    return ligatures.table_frame(spark)
+
+
+_SETS = " UNION ALL ".join(f"SELECT {_quoted(n)} AS name, unnest(string_split({_quoted(cs)}, '')) AS ch" for n, cs in ligatures.SETS.items())
+
+
+@query(f"WITH s AS ({_SETS}), c AS (SELECT ch, count(*) AS n FROM ({CHARS_SQL}) GROUP BY ch) SELECT name, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_distinct FROM s JOIN c ON s.ch = c.ch GROUP BY name")
+def char_set_counts(spark, sf):
+    """How many of the corpus's characters are in each common set."""
+    counted = _chars(spark, sf).groupBy("ch").agg(F.count("*").alias("n"))
+    return counted.join(F.broadcast(ligatures.set_members(spark)), "ch").groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"))
+
+
+@query(f"SELECT doc_id, {replaced('nfc_normalize(text)', ())} AS nfc FROM documents")
+def text_compose(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", text.nfc(F.col("text")).alias("nfc"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('7/' || doc_id), doc_id LIMIT 100")
+def seeded_sample(spark, sf):
+    """A hundred rows at random, the same for the same seed."""
+    return sorting.seeded_sample(_table(spark, sf, "documents").select("doc_id"), "doc_id", 100, 7)
+
+
+@query("SELECT d.doc_id, CAST(q.quality AS VARCHAR) AS quality, t.text AS benchmark FROM documents d LEFT JOIN labels q ON d.doc_id = q.doc_id LEFT JOIN benchmark t ON t.item_id = d.doc_id")
+def optional_siblings(spark, sf):
+    """Every document with its optional siblings, null where there is none."""
+    others = {"quality": _table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("text")), "benchmark": _table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")}
+    return files.with_siblings(_table(spark, sf, "documents").select("doc_id"), others, ["doc_id"])

@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineloom.errors import BadImage, BadInput
@@ -117,6 +117,92 @@ def html_cells(pages: DataFrame, key: str = "page_id", column: str = "html") ->
     return rows.select(key, "table_no", "row_no", F.trim(F.regexp_replace("r", "(?s)<[^>]*>", "")).alias("text"))
 
 
+_CELL = "(?is)<t[dh][^>]*>(.*?)</t[dh]>"
+
+
+def line_name(page: Column, line: Column) -> Column:
+    """NNNN.DDDDDDDDDD, as lists of transcripts name a line."""
+    return F.format_string("%04d.%010d", page, line)
+
+
+def correction_html(lines: DataFrame, by: list[str], height: int = 48) -> DataFrame:
+    """(by, html): a page for each group of lines (name, image or null, text) in which the texts can be edited.
+
+    Each line is a table of three rows, its name, its image as a data address and its text; no text is the empty text.
+    """
+    cell = lambda x: F.concat(F.lit("<tr><td>"), x, F.lit("</td></tr>"))
+    image = F.coalesce(F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64("image"), r"\s", "")), F.lit(""))
+    row = F.concat(F.lit("<table>"), cell(text.escape_html(F.col("name"))), cell(F.concat(F.lit("<img alt='line' src='"), image, F.lit(f"' height='{height}' />"))), F.lit("<tr><td contenteditable='true'>"), text.escape_html(F.coalesce("text", F.lit(""))), F.lit("</td></tr></table>\n"))
+    pages = lines.select(*by, F.struct("name", row.alias("row")).alias("r")).groupBy(*by).agg(F.array_sort(F.collect_list("r")).alias("r"))
+    head = "<!DOCTYPE html>\n<html><head><meta charset='utf-8' /></head><body>\n"
+    return pages.select(*by, F.concat(F.lit(head), F.array_join(F.transform("r", lambda r: r["row"]), ""), F.lit("</body></html>\n")).alias("html"))
+
+
+def corrections(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
+    """(key, table_no, name, image, text) of every table of three rows or more: what correction_html wrote, edited or not.
+
+    Only images given as data addresses are decoded; nothing is fetched.
+    """
+    tables = pages.select(key, F.posexplode(F.regexp_extract_all(column, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1))).alias("table_no", "t"))
+    rows = tables.select(key, "table_no", F.regexp_extract_all("t", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)).alias("r")).where(F.size("r") >= 3)
+    plain = lambda k: text.unescape_html(F.regexp_replace(F.regexp_extract(F.get("r", F.lit(k)), _CELL, 1), "(?s)<[^>]*>", ""))
+    return rows.select(key, "table_no", plain(0).alias("name"), data_uri(F.regexp_extract(F.get("r", F.lit(1)), r"""(?is)<img[^>]*\ssrc=['"]([^'"]*)""", 1)).alias("image"), plain(2).alias("text"))
+
+
+def correction_text(lines: DataFrame) -> DataFrame:
+    """(name, value): a line "name TAB text" for each, to be edited and read by transcript_list."""
+    return lines.select("name", F.concat_ws("\t", "name", F.coalesce("text", F.lit(""))).alias("value"))
+
+
+def correction_org(lines: DataFrame, file: str = "path") -> DataFrame:
+    """(name, value): the same as an outline with a link to the image above each line."""
+    return lines.select("name", F.concat(F.lit(" " * 15 + "\t[["), F.col(file), F.lit("]]\n"), F.concat_ws("\t", "name", F.coalesce("text", F.lit(""))), F.lit("\n")).alias("value"))
+
+
+def gallery(lines: DataFrame, page: str, most: int = 10, least: int = 20, width: int = 100) -> DataFrame:
+    """(page, lines): of each page the first `most` texts, by line_id, of `least` characters or more, cut at `width`."""
+    w = Window.partitionBy(page).orderBy("line_id")
+    some = lines.where(F.length("text") >= least).withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+    return some.groupBy(page).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: F.substring(x["text"], 1, width)).alias("lines"))
+
+
+def character_tables(read: DataFrame, key: str = "line_id") -> DataFrame:
+    """(key, pos, ch, x, p) from recognised lines with chars: what the location and probability tables list."""
+    return read.select(key, F.posexplode("chars").alias("pos", "c")).select(key, "pos", "c.ch", "c.x", "c.p")
+
+
+def write_files(rows: DataFrame, folder: str, name: str = "name", content: str = "content") -> DataFrame:
+    """(path, bytes): each row's content (binary) as a file of its own below the folder, over an older one of that name.
+
+    A name must be relative and not lead upwards. The folder must be one that executors share.
+    """
+    ok = ~(F.col(name).startswith("/") | F.col(name).rlike(r"(^|/)\.\.(/|$)"))
+
+    def run(parts):
+        from pyarrow import fs
+
+        for part in parts:
+            out = []
+            for n, c in zip(part[name], part[content], strict=True):
+                system, path = fs.FileSystem.from_uri(f"{folder}/{n}".replace("s3a://", "s3://", 1))
+                system.create_dir(path.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(path + ".part", compression=None) as f:
+                    f.write(bytes(c))
+                system.move(path + ".part", path)
+                out.append((f"{folder}/{n}", len(c)))
+            yield pd.DataFrame(out, columns=["path", "bytes"])
+
+    return rows.where(ok & F.col(content).isNotNull()).select(name, content).mapInPandas(run, "path string, bytes long")
+
+
+def with_siblings(lines: DataFrame, others: dict[str, DataFrame], on: list[str]) -> DataFrame:
+    """lines with each optional sibling's text in a column of its kind, null where a line has none."""
+    out = lines
+    for kind, rows in others.items():
+        out = out.join(rows.select(*on, F.col("text").alias(kind)).dropDuplicates(on), on, "left")
+    return out
+
+
 def data_uri(col: Column) -> Column:
     """Bytes of a base64 data URI, null for any other address: nothing is fetched."""
     return F.when(col.rlike(r"^data:[^,]*;base64,"), F.unbase64(F.regexp_replace(col, r"^data:[^,]*,", "")))
