@@ -41,6 +41,7 @@ N, THRESHOLD = 3, 0.5
 BUCKET_KEYS, PRINTS, MATCHED = 24, 64, 13
 BLOCK, BLOCK_GRAMS = 2048, 400_000
 MU, FAN, SMALL = 0.0085, 16, 24
+MANY, SPARSE = 8, 4
 _A = textkernel.constants(11, PRINTS)
 
 ORACLE = r"""
@@ -214,26 +215,46 @@ def divide_skip(lists: list[np.ndarray], need: int, mu: float = MU) -> tuple[np.
     return ids[count >= need], count[count >= need]
 
 
+def _masks(member: np.ndarray, number: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """(words, n): which of the buckets with MANY members here each member is in, a bit a bucket."""
+    big = np.flatnonzero(count >= MANY)
+    place = np.full(len(count), -1)
+    place[big] = np.arange(len(big))
+    out = np.zeros((-(-len(big) // 64), n), np.uint64)
+    bit = place[number]
+    some = bit >= 0
+    np.bitwise_or.at(out, (bit[some] >> 6, member[some]), np.uint64(1) << (bit[some] & 63).astype(np.uint64))
+    return out
+
+
 def rivals(prints: np.ndarray, flat: np.ndarray, off: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(member, later members) that can be similar and belong to no rarer bucket together, so each pair comes up once.
 
     Similar sets agree in MATCHED of the prints at least. flat and off hold every member's rarer buckets. Pairs of the
     same block are left out.
     """
-    prints = np.ascontiguousarray(prints.T)
-    member = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    _, number = np.unique(flat, return_inverse=True)
+    prints, n = np.ascontiguousarray(prints.T), len(off) - 1
+    member = np.repeat(np.arange(n), np.diff(off))
+    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    masks = _masks(member, number, count, n)
+    few = (count[number] > 1) & (count[number] < MANY)
+    member, number = member[few], number[few]
     by = np.argsort(number, kind="stable")
-    ends = np.searchsorted(number[by], np.arange(int(number.max(initial=-1)) + 2))
+    ends, start = np.searchsorted(number[by], np.arange(len(count) + 1)), np.searchsorted(member, np.arange(n + 1))
     with_bucket = member[by]
-    for q in range(prints.shape[1] - 1):
-        ok = (np.add.reduce(prints[:, q + 1 :] == prints[:, q : q + 1], 0, np.uint8) >= MATCHED) & (block[q + 1 :] != block[q])
-        if not ok.any():
-            continue
-        for k in number[off[q] : off[q + 1]].tolist():
+    for q in range(n - 1):
+        ok = block[q + 1 :] != block[q]
+        for m in masks:
+            if m[q]:
+                ok &= (m[q + 1 :] & m[q]) == 0
+        for k in number[start[q] : start[q + 1]].tolist():
             others = with_bucket[ends[k] : ends[k + 1]]
             ok[others[others > q] - q - 1] = False
         later = np.flatnonzero(ok) + q + 1
+        if not len(later):
+            continue
+        rest = prints[:, q + 1 :] if len(later) == n - q - 1 else prints[:, later]
+        later = later[np.add.reduce(rest == prints[:, q : q + 1], 0, np.uint8) >= MATCHED]
         if len(later):
             yield q, later
 
@@ -316,15 +337,25 @@ def _promising(table: pa.Table, starts: np.ndarray) -> pa.Table:
 _LINKS = "doc_id long, h1 long, links long, partner long"
 
 
+def _similar(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted sets, the shorter one first, are similar: its n-grams are looked up in the other by binary search."""
+    if len(x) < threshold * len(y) - 1e-9:
+        return False
+    overlap = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return overlap / (len(x) + len(y) - overlap) >= threshold
+
+
 def _search(threshold: float):
     def group(doc, copies, prints, rarer, off, block, sets) -> tuple[np.ndarray, list[int]]:
         """(links of each member, each member's root in this task)."""
-
-        def among(order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-            size = np.diff(off)[order]
-            to = np.concatenate(([0], np.cumsum(size)))
-            return rivals(prints[order], rarer[np.repeat(off[order] - to[:-1], size) + np.arange(to[-1])], to, block[order])
-
+        order = np.lexsort((doc, [len(x) for x in sets]))
+        size = np.diff(off)[order]
+        to = np.concatenate(([0], np.cumsum(size)))
+        pairs = list(rivals(prints[order], rarer[np.repeat(off[order] - to[:-1], size) + np.arange(to[-1])], to, block[order]))
+        if sum(len(x) for _, x in pairs) <= SPARSE * len(doc):  # no lists worth making: each pair's n-grams are probed
+            found = ((order[q], order[c]) for q, later in pairs for c in later.tolist() if _similar(sets[order[q]], sets[order[c]], threshold))
+        else:
+            found = ((i, j) for i, j, _, _ in join_sets(doc, sets, threshold, lambda _: iter(pairs)))
         links, root = np.zeros(len(doc), np.int64), list(range(len(doc)))
 
         def top(i: int) -> int:
@@ -332,7 +363,7 @@ def _search(threshold: float):
                 root[i] = i = root[root[i]]
             return i
 
-        for i, j, _, _ in join_sets(doc, sets, threshold, among):
+        for i, j in found:
             if doc[i] != doc[j]:
                 links[i] += copies[j]
                 links[j] += copies[i]
