@@ -6,11 +6,15 @@ block's digest as the bytes come in. One task reads one file from front to back;
 
 Records are returned in the order of the file. A wrong digest gives digest_ok false and a missing one null; the record is
 returned all the same. A truncated or damaged member gives one row with `error` set and no payload, and the reader goes on
-at the next gzip member. Several records in one member, and an uncompressed file, are read as well.
+at the next gzip member. A record whose header can't be read, in a member of several records or in an uncompressed file,
+gives such a row too, and the reader goes on at the next line that begins with "WARC/". Headers are HEAD bytes long at
+most. What a Content-Length spans is one record, whatever it looks like.
 
 The writer archives rows (page_id, url, html): null html is written as an empty block under the header WARC-Truncated:
-unspecified and read back as null; a null url or id has no header and comes back null. Repeated rows are repeated
-records. An empty table gives archives without records. Other columns are ignored.
+unspecified and read back as null; a null url or id has no header and comes back null. Line ends in a url, which no header
+can hold, are written as spaces. Repeated rows are repeated records; rows of equal ids or urls are told apart by nothing
+but their order. A very long page is one record, held whole by its task. An empty table gives archives without records.
+Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lineloom.llm import shared
 
-READ, LEVEL, BATCH = 1 << 16, 3, 8 << 20
+READ, LEVEL, BATCH, HEAD = 1 << 16, 3, 8 << 20, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 SCHEMA = "path string, record_offset long, record_type string, page_id long, url string, content_length long, payload_sha1 string, digest_ok boolean, truncated string, payload binary, error string"
 
@@ -135,11 +139,10 @@ class WarcReader:
                 yield from self._records(self._member() if gz else self._plain(), start)
             except (zlib.error, EOFError, ValueError) as e:
                 yield {"record_offset": start, "error": f"{type(e).__name__}: {e}"}
-                if gz:
-                    self._drop(int(self.base == start))
-                    self._seek_member()
-                else:
+                if not gz:
                     return
+                self._drop(int(self.base == start))
+                self._seek_member()
 
     def _records(self, pieces: Iterator[bytes], start: int) -> Iterator[dict]:
         held = b""
@@ -150,22 +153,41 @@ class WarcReader:
             held += got
             return bool(got)
 
-        while True:
-            held = held.lstrip(b"\r\n")
-            if not held:
-                if fill():
-                    continue
-                return
-            while (end := held.find(b"\r\n\r\n")) < 0:
+        def header() -> dict[str, str]:
+            nonlocal held
+            seen = 0
+            while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+                seen = len(held)
+                if seen > HEAD:
+                    raise ValueError("the header is too long")
                 if not fill():
                     raise EOFError("the header has no end")
             first, *lines = held[:end].decode("utf-8", "replace").split("\r\n")
             if not first.startswith("WARC/"):
                 raise ValueError("no WARC version line")
             head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-            length, held = int(head.get("content-length", "")), held[end + 4 :]
-            if length < 0:
-                raise ValueError("negative Content-Length")
+            if not head.get("content-length", "").isdigit():
+                raise ValueError("no Content-Length")
+            held = held[end + 4 :]
+            return head
+
+        while True:
+            held = held.lstrip(b"\r\n")
+            if not held:
+                if fill():
+                    continue
+                return
+            try:
+                head = header()
+            except ValueError as e:
+                yield {"record_offset": start, "error": f"{type(e).__name__}: {e}"}
+                while (at := held.find(b"\nWARC/")) < 0:
+                    held = held[-5:]
+                    if not fill():
+                        return
+                held = held[at + 1 :]
+                continue
+            length = int(head["content-length"])
             sha1, block, have = hashlib.sha1(), [], 0
             while have < length:
                 if not held and not fill():
@@ -199,7 +221,7 @@ def write_warc(pages: DataFrame, folder: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([records], pa.int64()), pa.array([size], pa.int64())], ["path", "records", "bytes"])
 
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.col("url").cast("string"), "[\r\n]", " ").alias("url"), F.col("html").cast("string").alias("html"))
-    return shared.cut(pages.mapInArrow(run, "path string, records long, bytes long").where("records > 0"))
+    return shared.cut(shared.small_batches(pages).mapInArrow(shared.lean(run), "path string, records long, bytes long").where("records > 0"))
 
 
 def read_warc(paths: DataFrame) -> DataFrame:
@@ -225,7 +247,7 @@ def read_warc(paths: DataFrame) -> DataFrame:
                             rows, held = [], 0
                 yield out(rows)
 
-    return paths.select("path").coalesce(1).repartition(n).mapInArrow(run, SCHEMA)
+    return paths.select("path").coalesce(1).repartition(n).mapInArrow(shared.lean(run), SCHEMA)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
