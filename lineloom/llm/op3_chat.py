@@ -7,9 +7,11 @@ tokens it expands to are counted (an image by patches, audio by seconds, a docum
 public tokenizer whose file is a parameter. Turns of a conversation follow in the order of turn, then role and content.
 
 A literal "<|" in a text is written "< |", so no text can forge a marker. Null content is a turn without text, a null role
-is "unknown", a null turn sorts first; rows with a null conv_id form one conversation with a null id. A JSON list that is
-not a list of typed parts is plain text; a part of unknown type is kept as its JSON text. Repeated rows are repeated turns.
-Other columns are ignored. No rows: an empty result.
+is "unknown", a null turn sorts first (ties by role, then content); each row with a null conv_id is a conversation of its
+own with a null id, so that they don't gather in one row. A JSON list that is not a list of typed parts is plain text; a
+part of unknown type is kept as its JSON text. Repeated rows are repeated turns. A conversation is one row, and a very long
+text is tokenized whole: a task holds the conversation at hand. Other columns, whatever their names, are ignored. No rows:
+an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+from lineloom.llm import shared
+
+#: The tokenizer's file where neither the parameter nor the setting CONF names one.
+TOKENIZER, CONF = "/opt/tokenizers/byte_bpe_50k.json", "spark.lineloom.tokenizer"
 PATCH, IMAGE_SIDE, AUDIO_RATE, PAGE_TOKENS, TURN_TOKENS = 28, 448, 25, 560, 3
 LINK = re.compile(r"!\[([^\]\n]*)\]\(([^()\s]+)\)")
 KINDS = {"png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "webp": "image", "wav": "audio", "mp3": "audio", "flac": "audio", "ogg": "audio", "pdf": "document", "docx": "document", "txt": "document"}
@@ -184,15 +189,17 @@ def _flattened(path: str):
     return run
 
 
-def chats(conversations: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def chats(conversations: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """(conv_id, n_turns, text, n_text_tokens, n_attachment_tokens, n_tokens, attachments) of every conversation.
 
     n_tokens adds TURN_TOKENS a turn for its markers. attachments holds kind, ref and n_tokens in the order of the
     placeholders.
     """
     rows = conversations.select(*(F.col(c).cast(t).alias(c) for c, t in (("conv_id", "long"), ("turn", "long"), ("role", "string"), ("text", "string"))))
-    flat = rows.mapInArrow(_flattened(tokenizer), _TURN).withColumn("role", F.regexp_replace(F.coalesce("role", F.lit("unknown")), r"<\|", "< |"))
-    turns = flat.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "rendered", "n_text", "attachments"))).alias("t"))
+    path = tokenizer or conversations.sparkSession.conf.get(CONF, TOKENIZER)
+    flat = shared.small_batches(rows).mapInArrow(shared.lean(_flattened(path)), _TURN).withColumn("role", F.regexp_replace(F.coalesce("role", F.lit("unknown")), r"<\|", "< |"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    turns = flat.withColumn("alone", alone).groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "rendered", "n_text", "attachments"))).alias("t"))
     text = F.array_join(F.transform("t", lambda t: F.concat(F.lit("<|"), t["role"], F.lit("|>\n"), t["rendered"], F.lit("<|end|>\n"))), "")
     total = lambda xs, f: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + f(x))
     out = turns.select("conv_id", F.size("t").cast("long").alias("n_turns"), text.alias("text"), total("t", lambda t: t["n_text"]).alias("n_text_tokens"), F.flatten(F.transform("t", lambda t: t["attachments"])).alias("attachments"))

@@ -7,9 +7,11 @@ one span. Where a window overlaps its own first occurrence in the same document,
 Windows are compared by 128 bits of hash. Only hashes and positions are shuffled; the texts move only if the table of
 removals is too large to broadcast.
 
-Documents of fewer than three non-blank lines have no window and stay as they are, as do rows with a null doc_id or text.
-Rows with the same doc_id are one document: they do not repeat each other, and the lines found are removed from all of
-them. A document all of whose lines go has the empty text. Other columns are ignored. No rows: an empty result.
+Documents of fewer than three non-blank lines have no window and stay as they are, as do rows with a null doc_id or text
+and empty texts. Rows with the same doc_id are one document: they do not repeat each other, and the lines found are removed
+from all of them. Ties: of occurrences at the same doc_id the earlier one is the first. A document all of whose lines go
+has the empty text. A very long text is one row of windows, held by its task as hashes. Other columns, whatever their names,
+are ignored. No rows: an empty result.
 """
 
 from __future__ import annotations
