@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -145,14 +147,90 @@ def zoom(a: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     return (a[np.ix_(y0, x0)] * (1 - fx) + a[np.ix_(y0, x1)] * fx) * (1 - fy) + (a[np.ix_(y1, x0)] * (1 - fx) + a[np.ix_(y1, x1)] * fx) * fy
 
 
-def rotated(a: np.ndarray, degrees: float) -> np.ndarray:
-    """Turned about its middle, nearest pixel, edges repeated."""
+def rotated(a: np.ndarray, degrees: float, fill: float | None = None) -> np.ndarray:
+    """Turned about its middle, nearest pixel; beyond the edges they are repeated, or fill."""
     r = np.deg2rad(degrees)
     cy, cx = (np.array(a.shape) - 1) / 2
     y, x = np.mgrid[: a.shape[0], : a.shape[1]]
     sy = np.cos(r) * (y - cy) + np.sin(r) * (x - cx) + cy
     sx = -np.sin(r) * (y - cy) + np.cos(r) * (x - cx) + cx
-    return a[np.clip(np.rint(sy).astype(int), 0, a.shape[0] - 1), np.clip(np.rint(sx).astype(int), 0, a.shape[1] - 1)]
+    sy, sx = np.rint(sy).astype(int), np.rint(sx).astype(int)
+    out = a[np.clip(sy, 0, a.shape[0] - 1), np.clip(sx, 0, a.shape[1] - 1)]
+    return out if fill is None else np.where((sy >= 0) & (sy < a.shape[0]) & (sx >= 0) & (sx < a.shape[1]), out, fill)
+
+
+def sampled(a: np.ndarray, y: np.ndarray, x: np.ndarray, fill: float | None = None) -> np.ndarray:
+    """Values at fractional places, bilinear; beyond the image fill, or the nearest edge."""
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    fy, fx = y - y0, x - x0
+
+    def at(j: np.ndarray, i: np.ndarray) -> np.ndarray:
+        v = a[np.clip(j, 0, a.shape[0] - 1), np.clip(i, 0, a.shape[1] - 1)]
+        return v if fill is None else np.where((j >= 0) & (j < a.shape[0]) & (i >= 0) & (i < a.shape[1]), v, fill)
+
+    return (at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx) * (1 - fy) + (at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx) * fy
+
+
+def jittered(a: np.ndarray, seed: int, eps: float = 0.03, shift: float = 0.3) -> np.ndarray:
+    """A small random affine change about the middle, beyond the edges the first pixel's value; the same seed, the same change."""
+    rng = np.random.default_rng(seed)
+    m = np.array([[1 + eps * rng.normal(), 0.0], [eps * rng.normal(), 1 + eps * rng.normal()]])
+    c = np.array(a.shape) / 2
+    d = c - m @ c + rng.normal(size=2) * shift
+    y, x = np.mgrid[: a.shape[0], : a.shape[1]]
+    return sampled(a, m[0, 0] * y + m[0, 1] * x + d[0], m[1, 0] * y + m[1, 1] * x + d[1], a.flat[0])
+
+
+def distorted(a: np.ndarray, seed: int, most: float = 3.0, sigma: float = 10.0, fill: float = 0.0) -> np.ndarray:
+    """Pixels moved by smooth random fields of at most `most`."""
+    rng = np.random.default_rng(seed)
+    y, x = np.mgrid[: a.shape[0], : a.shape[1]].astype(float)
+    for place in (y, x):
+        field = gaussian(rng.normal(size=a.shape), sigma)
+        place += field * most / max(np.abs(field).max(), 1e-9)
+    return sampled(a, y, x, fill)
+
+
+def degraded(a: np.ndarray, seed: int, noise: float = 0.2, blur: float = 1.0, threshold: float = 0.5) -> np.ndarray:
+    """Noise added, blurred and thresholded: a line (0 ink, 1 paper) as a bad copy shows it."""
+    rng = np.random.default_rng(seed)
+    return (gaussian(a + rng.normal(size=a.shape) * noise, blur) > threshold).astype(float)
+
+
+def cut_box(a: np.ndarray, y0: int, x0: int, y1: int, x1: int, margin: int = 0, background: float = 0.0) -> np.ndarray:
+    """A box of the image with a margin; what lies beyond the image is background."""
+    y0, x0, y1, x1 = y0 - margin, x0 - margin, y1 + margin, x1 + margin
+    out = np.full((max(0, y1 - y0), max(0, x1 - x0)), background, float)
+    a0, b0, a1, b1 = max(y0, 0), max(x0, 0), min(y1, a.shape[0]), min(x1, a.shape[1])
+    if a0 < a1 and b0 < b1:
+        out[a0 - y0 : a1 - y0, b0 - x0 : b1 - x0] = a[a0:a1, b0:b1]
+    return out
+
+
+def cut_paths(line: np.ndarray, step: int = 8, ink: float = 10.0, bend: float = 1.0) -> list[np.ndarray]:
+    """Ways from top to bottom between characters (1 = ink), x by row, one from about every step-th column, duplicates left out.
+
+    Each is the cheapest by dynamic programming: ink costs, and so does each step aside.
+    """
+    h, w = line.shape
+    cost, back = line[0] * ink, np.zeros((h, w), int)
+    for y in range(1, h):
+        side = np.pad(cost, 1, constant_values=np.inf)
+        ways = np.stack([side[:-2] + bend, side[1:-1], side[2:] + bend])
+        back[y] = ways.argmin(0) - 1
+        cost = ways.min(0) + line[y] * ink
+    out, seen = [], set()
+    for x0 in range(0, w, step):
+        window = cost[x0 : x0 + step]
+        x = x0 + int(window.argmin())
+        path = np.empty(h, int)
+        for y in range(h - 1, -1, -1):
+            path[y] = x
+            x += back[y, x]
+        if cost[path[-1]] < ink and tuple(path) not in seen:
+            seen.add(tuple(path))
+            out.append(path)
+    return out
 
 
 def skew(a: np.ndarray, most: float = 2.0, steps: int = 8) -> float:
@@ -162,17 +240,66 @@ def skew(a: np.ndarray, most: float = 2.0, steps: int = 8) -> float:
     return float(angles[np.argmax([rotated(a, t).mean(1).var() for t in angles])])
 
 
-def binarize(a: np.ndarray, threshold: float = 0.5, lo: float = 5, hi: float = 90, window: int = 20, perc: float = 80) -> np.ndarray:
-    """Page to 0 (ink) and 1: local white level removed, then scaled between two percentiles."""
-    span = a.max() - a.min()
-    if not a.size or span == 0:
-        return np.ones(a.shape, np.uint8)
-    x = (a - a.min()) / span
-    small = zoom(x, tuple(max(1, n // 2) for n in x.shape))
+def white_level(x: np.ndarray, window: int = 20, perc: float = 80, factor: float = 0.5) -> np.ndarray:
+    """x with its local white level, a percentile of a smaller copy, lifted to 1."""
+    small = zoom(x, tuple(max(1, round(n * factor)) for n in x.shape))
     white = percentile_box(percentile_box(small, perc, (min(window, small.shape[0]), 2)), perc, (2, min(window, small.shape[1])))
-    flat = np.clip(x - zoom(white, x.shape) + 1, 0, 1)
-    a, b = np.percentile(flat, [lo, hi])
-    return (np.clip((flat - a) / max(b - a, 1e-9), 0, 1) > threshold).astype(np.uint8)
+    return np.clip(x - zoom(white, x.shape) + 1, 0, 1)
+
+
+def inner(a: np.ndarray, border: float = 0.1) -> np.ndarray:
+    """The image without a share of its border."""
+    oy, ox = (int(border * n) for n in a.shape)
+    return a[oy : a.shape[0] - oy, ox : a.shape[1] - ox]
+
+
+def ink_range(flat: np.ndarray, lo: float = 5, hi: float = 90, border: float = 0.1, scale: float = 1.0) -> tuple[float, float]:
+    """Percentiles for black and white within the border, where values vary by 0.3 of the greatest deviation at least."""
+    own = inner(flat, border)
+    if scale > 0 and own.size:
+        dev = np.sqrt(np.maximum(gaussian((own - gaussian(own, scale * 20.0)) ** 2, scale * 20.0), 0))
+        size = int(scale * 50)
+        some = box(box(dev > 0.3 * dev.max(), (size, 1), np.max, 0), (1, size), np.max, 0)
+        own = own[some.astype(bool)] if some.any() else own
+    low, high = np.percentile(own if own.size else flat, [lo, hi])
+    return float(low), float(high)
+
+
+@dataclass(frozen=True)
+class Page:
+    """A page as 0 (ink) and 1, its gray normalised, and how it was turned and scaled."""
+
+    binary: np.ndarray
+    gray: np.ndarray
+    angle: float
+    lo: float
+    hi: float
+    flattened: bool
+
+
+def normalize_page(a: np.ndarray, threshold: float = 0.5, lo: float = 5, hi: float = 90, window: int = 20, perc: float = 80, border: float = 0.1, most_skew: float = 2.0, skew_steps: int = 8, scale: float = 1.0) -> Page:
+    """Gray page: white level flattened unless it is nearly binary already, turned upright, scaled between two percentiles.
+
+    A page of one value is white.
+    """
+    span = a.max() - a.min() if a.size else 0
+    if span == 0:
+        return Page(np.ones(a.shape, np.uint8), np.ones(a.shape), 0.0, 0.0, 1.0, False)
+    x = (a - a.min()) / span
+    plain = ((x < 0.05) | (x > 0.95)).mean() > 0.95
+    flat, angle = x if plain else white_level(x, window, perc), 0.0
+    if most_skew > 0:
+        ink = flat.max() - flat
+        angle = skew(inner(ink, border), most_skew, skew_steps)
+        flat = flat.max() - rotated(ink, angle, 0.0) if angle else flat
+    low, high = ink_range(flat, lo, hi, border, scale)
+    gray = np.clip((flat - low) / max(high - low, 1e-9), 0, 1)
+    return Page((gray > threshold).astype(np.uint8), gray, angle, low, high, not plain)
+
+
+def binarize(a: np.ndarray, threshold: float = 0.5, lo: float = 5, hi: float = 90, window: int = 20, perc: float = 80) -> np.ndarray:
+    """Page to 0 (ink) and 1 as it stands: local white level removed, then scaled between two percentiles."""
+    return normalize_page(a, threshold, lo, hi, window, perc, most_skew=0).binary
 
 
 def sauvola(a: np.ndarray, size: int = 15, k: float = 0.2) -> np.ndarray:

@@ -28,6 +28,16 @@ def read_lattices(lines: DataFrame) -> DataFrame:
     return rows.select("lattice_id", F.get(ends, F.lit(0)).cast("long").alias("start"), (F.get(ends, F.lit(1)).cast("long") + 1).alias("stop"), F.get(f, F.lit(3)).cast("double").alias("cost"), F.coalesce(F.get(f, F.lit(4)), F.lit("")).alias("cls"))
 
 
+def lattice_lines(edges: DataFrame) -> DataFrame:
+    """(lattice_id, pos, line): a segment line for every pair of ends, in their order, and its edges by cost as chr lines."""
+    spans = edges.groupBy("lattice_id", "start", "stop").agg(F.array_sort(F.collect_list(F.struct("cost", "cls"))).alias("e"))
+    i = F.row_number().over(Window.partitionBy("lattice_id").orderBy("start", "stop")) - 1
+    segment = F.format_string("segment %d %d:%d 0:0:0:0", "i", "start", F.col("stop") - 1)
+    chars = F.transform("e", lambda x, j: F.concat_ws(" ", F.lit("chr"), F.col("i").cast("string"), j.cast("string"), x["cost"].cast("string"), x["cls"]))
+    made = spans.withColumn("i", i).select("lattice_id", "i", F.posexplode(F.concat(F.array(segment), chars)).alias("j", "line"))
+    return made.select("lattice_id", (F.col("i") * (1 << 20) + F.col("j")).alias("pos"), "line")
+
+
 def with_space_edges(edges: DataFrame, cost: str = "space_cost") -> DataFrame:
     """Each edge also with a space after its class, where the edge has a cost for that."""
     plain = edges.drop(cost)
@@ -131,7 +141,7 @@ def _beam_search_joined(edges: DataFrame, model: DataFrame, order: int, width: i
     chars = own.select("lattice_id", F.explode(F.split("cls", "")).alias("ch")).where("ch <> ''").distinct()
     have = chars.groupBy("lattice_id").agg(F.collect_set("ch").alias("has"))
     asked = chars.join(model.select("prefix", "ch", "neglogp"), "ch").join(have, "lattice_id")
-    asked = asked.where(F.forall(F.split("prefix", ""), lambda c: (c == "_") | (c == "") | F.array_contains("has", c))).select("lattice_id", "prefix", "ch", "neglogp")
+    asked = asked.where(F.forall(F.split("prefix", ""), lambda c: (c == "_") | (c == "") | F.array_contains("has", c))).select((F.col("lattice_id") + 0).alias("id"), "prefix", "ch", "neglogp")
 
     def solve(g: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         table: dict[str, dict[str, float]] = {}
@@ -140,7 +150,7 @@ def _beam_search_joined(edges: DataFrame, model: DataFrame, order: int, width: i
         found = beam(list(zip(g["start"], g["stop"], g["cost"], g["cls"], strict=True)), table, order, width, missing, weight, changes) if len(g) else None
         return pd.DataFrame([(int(g["lattice_id"].iloc[0]), *found)] if found else [], columns=["lattice_id", "cost", "text"])
 
-    return edges.select("lattice_id", "start", "stop", "cost", "cls").groupBy("lattice_id").cogroup(asked.groupBy("lattice_id")).applyInPandas(solve, "lattice_id long, cost double, text string")
+    return edges.select("lattice_id", "start", "stop", "cost", "cls").groupBy("lattice_id").cogroup(asked.groupBy("id")).applyInPandas(solve, "lattice_id long, cost double, text string")
 
 
 def align_to_truth(edges: list[tuple[int, int, float, str]], truth: str, skip: float = 5.0) -> list[tuple[int, int, str]] | None:

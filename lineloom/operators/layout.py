@@ -15,17 +15,17 @@ def reading_order(boxes: DataFrame, page: str = "page_no", key: str = "line_id")
     """(page, u, v): line u is read before line v.
 
     u precedes v if their columns overlap and u is higher, or if u is left of v and no line of the page separates them.
-    All joins are within a page; the search for separators only sees the pairs that are left of each other.
+    A page's boxes are gathered in one row, so the table is read and shuffled once; the pairs are made within the row.
     """
-    side = lambda p: boxes.select(page, F.col(key).alias(p), *Rect.of().columns(p + "_"))
-    u, v, w = Rect.of("u_"), Rect.of("v_"), Rect.of("w_")
-    pairs = side("u").join(side("v"), page)
-    over = (u.x0 < v.x1) & (u.x1 > v.x0)
-    higher = pairs.where(over & (u.y0 < v.y0)).select(page, "u", "v")
-    beside = pairs.where(~over & (u.x1 < v.x0))
-    others = side("w").withColumnRenamed(page, "w_page")
-    between = (F.col(page) == F.col("w_page")) & (w.y1 >= F.least(u.y0, v.y0)) & (w.y0 <= F.greatest(u.y1, v.y1)) & (w.x0 < u.x1) & (w.x1 > v.x0)
-    return higher.unionAll(beside.join(others, between, "left_anti").select(page, "u", "v"))
+    gathered = boxes.groupBy(page).agg(F.collect_list(F.struct(F.col(key).alias("k"), "y0", "x0", "y1", "x1")).alias("b"))
+
+    def first(u: Column, v: Column) -> Column:
+        over = (u["x0"] < v["x1"]) & (u["x1"] > v["x0"])
+        between = lambda w: (w["y1"] >= F.least(u["y0"], v["y0"])) & (w["y0"] <= F.greatest(u["y1"], v["y1"])) & (w["x0"] < u["x1"]) & (w["x1"] > v["x0"])
+        return F.when(over, u["y0"] < v["y0"]).otherwise((u["x1"] < v["x0"]) & ~F.exists("b", between))
+
+    pairs = F.flatten(F.transform("b", lambda u: F.transform(F.filter("b", lambda v: first(u, v)), lambda v: F.struct(u["k"].alias("u"), v["k"].alias("v")))))
+    return gathered.select(page, F.explode(pairs).alias("p")).select(page, "p.u", "p.v")
 
 
 def topological_order(nodes: list[int], before: dict[int, list[int]]) -> list[int]:

@@ -7,8 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineloom import storage
+
 #: Prototypes are sent to the tasks only below so many bytes; beyond, the tables are joined in blocks.
-PROTO_BYTES, BLOCKS = 64 << 20, 16
+PROTO_BYTES, BLOCKS, CHUNK_BYTES = 64 << 20, 16, 32 << 20
 
 
 def _dense(df: DataFrame, vector: str):
@@ -30,13 +32,19 @@ def knn(queries: DataFrame, protos: DataFrame, k: int, key: str = "vec_id", vect
     p = p.withColumn("b", F.pmod(F.xxhash64("p"), F.lit(blocks)))
 
     def best(qi, qv, pi, pv):
+        """The k nearest of each query; pi ascends, and ties go to the lesser key."""
         d = np.maximum((qv * qv).sum(1)[:, None] + (pv * pv).sum(1)[None] - 2 * qv @ pv.T, 0)
-        d = np.where((qi[:, None] == pi[None]) & (not itself), np.inf, d)
-        order = np.lexsort((np.broadcast_to(pi, d.shape), d))[:, : k]
-        ok = np.isfinite(np.take_along_axis(d, order, 1))
-        row = np.repeat(np.arange(len(qi)), order.shape[1])[ok.ravel()]
-        return pd.DataFrame({"q": qi[row], "p": pi[order.ravel()[ok.ravel()]], "d": np.sqrt(np.take_along_axis(d, order, 1).ravel()[ok.ravel()])})
-
+        if not itself:
+            d[qi[:, None] == pi[None]] = np.inf
+        far = np.partition(d, min(k, d.shape[1]) - 1, 1)[:, min(k, d.shape[1]) - 1]
+        row, col = np.nonzero((d <= far[:, None]) & np.isfinite(d))
+        by = np.lexsort((col, d[row, col], row))
+        row, col = row[by], col[by]
+        first = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col = row[first], col[first]
+        return pd.DataFrame({"q": qi[row], "p": pi[col], "d": np.sqrt(d[row, col])})
+
+    chunk = lambda n: max(1, CHUNK_BYTES // (8 * max(1, n)))  # queries at a time against n prototypes
     stack = lambda s: np.array(s.tolist(), float)
     if blocks == 1:
         rows = p.orderBy("p").collect()
@@ -45,8 +53,9 @@ def knn(queries: DataFrame, protos: DataFrame, k: int, key: str = "vec_id", vect
         def run(parts):
             pi, pv = sent.value
             for part in parts:
-                for at in range(0, len(part) if len(pi) else 0, 1024):
-                    some = part.iloc[at : at + 1024]
+                step = chunk(len(pi))
+                for at in range(0, len(part) if len(pi) else 0, step):
+                    some = part.iloc[at : at + step]
                     yield best(some["q"].to_numpy(), stack(some["qv"]), pi, pv)
 
         near = q.mapInPandas(run, "q long, p long, d double")
@@ -57,8 +66,9 @@ def knn(queries: DataFrame, protos: DataFrame, k: int, key: str = "vec_id", vect
         def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
                 return pd.DataFrame({"q": [], "p": [], "d": []})
-            pi, pv = right["p"].to_numpy(), stack(right["pv"])
-            return pd.concat([best(left["q"].to_numpy()[at : at + 1024], stack(left["qv"].iloc[at : at + 1024]), pi, pv) for at in range(0, len(left), 1024)])
+            right = right.sort_values("p")
+            pi, pv, step = right["p"].to_numpy(), stack(right["pv"]), chunk(len(right))
+            return pd.concat([best(left["q"].to_numpy()[at : at + step], stack(left["qv"].iloc[at : at + step]), pi, pv) for at in range(0, len(left), step)])
 
         near = each.groupBy("b", "part").cogroup(spread.groupBy("b", "part")).applyInPandas(cell, "q long, p long, d double")
     w = Window.partitionBy("q").orderBy("d", "p")
@@ -111,35 +121,130 @@ def kmeans(df: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding"
     return KMeans(k=k, seed=seed, maxIter=20).fit(d).transform(d).select(key, F.col("prediction").cast("long").alias("cluster"))
 
 
-def leader_clusters(df: DataFrame, eps: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, leader, distance): each vector joins the nearest leader closer than eps, or becomes one.
+def leaders(df: DataFrame, eps: float, key: str = "vec_id", vector: str = "embedding", batch: int = 4096) -> DataFrame:
+    """(key, vector) of the leaders: in the order of the key, a vector is one unless an earlier leader is closer than eps.
 
-    Partitions find their leaders first, in the order of the key; the leaders of all partitions are clustered in the same
-    way, and every vector then takes the nearest of the final leaders, which may be up to 2 eps away.
+    Each round decides the first `batch` vectors that are left, one after the other on the driver, and then takes out of
+    the rest, in one pass without a shuffle, what the new leaders reach. The result depends on no partition.
     """
-
-    def lead(keys, vecs):
-        leaders: list[int] = []
-        held = np.zeros((0, vecs.shape[1] if len(vecs) else 0))
-        for i in np.argsort(keys, kind="stable"):
-            if not len(leaders) or ((held - vecs[i]) ** 2).sum(1).min() >= eps * eps:
-                leaders.append(i)
-                held = vecs[leaders]
-        return leaders
-
-    def local(parts):
-        rows = pd.concat(list(parts) or [pd.DataFrame({key: [], vector: []})])
-        if len(rows):
-            keep = lead(rows[key].to_numpy(), np.array(rows[vector].tolist(), float))
-            yield rows.iloc[keep]
-
-    rows = df.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)).where(F.col(key).isNotNull() & F.col(vector).isNotNull())
     schema = f"{key} long, {vector} array<double>"
-    final = rows.mapInPandas(local, schema).repartition(1).mapInPandas(local, schema)
-    near = knn(rows, final, 1, key, vector, itself=True)
+    left = storage.cut(df.select(F.col(key).cast("long").alias(key), F.col(vector).cast("array<double>").alias(vector)).where(F.col(key).isNotNull() & F.col(vector).isNotNull()))
+    spark, found = df.sparkSession, None
+    while rows := left.orderBy(key, vector).limit(batch).collect():
+        vecs, held = np.array([r[vector] for r in rows]), []
+        for i in range(len(rows)):
+            if not held or ((vecs[held] - vecs[i]) ** 2).sum(1).min() >= eps * eps:
+                held.append(i)
+        new = spark.createDataFrame([(rows[i][key], rows[i][vector]) for i in held], schema)
+        found = new if found is None else found.union(new)
+        sent = spark.sparkContext.broadcast(vecs[held])
+        if len(rows) < batch:
+            break
+        last = rows[-1][key]
+
+        def outside(parts, sent=sent, last=last):
+            for part in parts:
+                part = part[part[key] >= last]
+                x = np.array(part[vector].tolist(), float).reshape(len(part), -1)
+                if len(part):
+                    d = (x * x).sum(1)[:, None] + (sent.value**2).sum(1)[None] - 2 * x @ sent.value.T
+                    part = part[d.min(1) >= eps * eps - 1e-12]
+                yield part
+
+        left = storage.cut(left.mapInPandas(outside, schema))
+    return found if found is not None else spark.createDataFrame([], schema)
+
+
+def leader_clusters(df: DataFrame, eps: float, key: str = "vec_id", vector: str = "embedding", batch: int = 4096) -> DataFrame:
+    """(key, leader, distance): every vector's nearest leader, which is closer than eps unless it is one itself."""
+    near = knn(df, leaders(df, eps, key, vector, batch), 1, key, vector, itself=True)
     return near.select(key, F.col("neighbour").alias("leader"), "distance")
 
 
+def classical_scaling(d: np.ndarray, k: int = 2) -> np.ndarray:
+    """Points in k dimensions whose distances are near those given, by the eigenvectors of the centred squares; signs fixed.
+
+    For the prototypes of a model, some thousands at most: the table is square.
+    """
+    n = len(d)
+    c = np.eye(n) - 1 / n
+    values, axes = np.linalg.eigh(-0.5 * c @ (d * d) @ c)
+    values, axes = values[::-1][:k], axes[:, ::-1][:, :k]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])
+    return axes * np.sqrt(np.maximum(values, 0))
+
+
+class SelfOrganisingMap:
+    """A grid of prototypes that neighbours in the grid share, trained on a bounded sample on the driver."""
+
+    def __init__(self, height: int, width: int, dims: int, seed: int = 1):
+        self.shape = (height, width)
+        self.proto = np.random.default_rng(seed).normal(size=(height * width, dims)) * 0.1
+        y, x = np.divmod(np.arange(height * width), width)
+        self.place = np.stack([y, x], 1).astype(float)
+
+    def train(self, data: np.ndarray, steps: int = 2000, rate: float = 0.3, radius: float | None = None, seed: int = 1) -> None:
+        rng, radius = np.random.default_rng(seed), radius or max(self.shape) / 2
+        for t in range(steps):
+            x, f = data[rng.integers(len(data))], t / steps
+            near = self.place - self.place[((self.proto - x) ** 2).sum(1).argmin()]
+            pull = np.exp(-(near**2).sum(1) / (2 * (radius * (1 - f) + 0.5 * f) ** 2))
+            self.proto += (rate * (1 - f) + 0.01) * pull[:, None] * (x - self.proto)
+
+    def find(self, data: np.ndarray) -> np.ndarray:
+        """Number of the nearest prototype of each row."""
+        return ((data * data).sum(1)[:, None] + (self.proto**2).sum(1)[None] - 2 * data @ self.proto.T).argmin(1)
+
+
+class Perceptron:
+    """A network of one hidden layer; trained by whole passes over a table, each task adding up its rows' gradients."""
+
+    def __init__(self, inputs: int, hidden: int, classes: int, seed: int = 1):
+        rng = np.random.default_rng(seed)
+        self.w = [rng.normal(size=(inputs + 1, hidden)) / np.sqrt(inputs + 1), rng.normal(size=(hidden + 1, classes)) / np.sqrt(hidden + 1)]
+        self.motion = [np.zeros_like(w) for w in self.w]
+
+    def _through(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        one = np.ones((len(x), 1))
+        x = np.hstack([one, x])
+        h = np.hstack([one, np.tanh(x @ self.w[0])])
+        z = h @ self.w[1]
+        z = np.exp(z - z.max(1, keepdims=True))
+        return x, h, z / z.sum(1, keepdims=True)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self._through(x)[2]
+
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        x, h, p = self._through(x)
+        delta = np.eye(p.shape[1])[y] - p
+        return [x.T @ ((delta @ self.w[1].T) * (1 - h * h))[:, 1:], h.T @ delta]
+
+    def train_step(self, df: DataFrame, label: str, vector: str = "embedding", rate: float = 0.5, momentum: float = 0.9) -> int:
+        """One step on all rows that have a vector and a label; the number of rows."""
+        sent = df.sparkSession.sparkContext.broadcast(self)
+
+        def run(parts):
+            total, n = None, 0
+            for part in parts:
+                if len(part):
+                    g = sent.value.gradients(np.array(part["x"].tolist(), float), part["y"].to_numpy())
+                    total, n = (g if total is None else [a + b for a, b in zip(total, g, strict=True)]), n + len(part)
+            if n:
+                yield pd.DataFrame({"n": [n], "g": [np.concatenate([x.ravel() for x in total]).tobytes()]})
+
+        rows = df.select(F.col(vector).cast("array<double>").alias("x"), F.col(label).cast("long").alias("y")).where("x is not null and y is not null")
+        n, flat = 0, np.zeros(sum(w.size for w in self.w))
+        for r in rows.mapInPandas(run, "n long, g binary").toLocalIterator():
+            n, flat = n + r["n"], flat + np.frombuffer(r["g"])
+        if n:
+            for w, m, g in zip(self.w, self.motion, np.split(flat, [self.w[0].size]), strict=True):
+                m *= momentum
+                m += rate * g.reshape(w.shape) / n
+                w += m
+        return n
+
+
 def per_cluster(df: DataFrame, cluster: str, label: str, least: int = 1) -> DataFrame:
     """(cluster, label, n, cost): a trivial classifier of each cluster of `least` rows or more, -log of its labels' shares."""
     c = df.groupBy(cluster, label).agg(F.count("*").alias("n"))

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from lineloom.plans import evaluation, layout, models, raster, registry, relational, text  # noqa: F401
+from lineloom.plans import evaluation, layout, models, raster, records, registry, relational, text  # noqa: F401
 
 QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
