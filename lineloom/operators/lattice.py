@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineloom.operators.grouping import per_group
+
 #: A model of more n-graphs isn't sent to every task.
 MODEL_ROWS = 1_000_000
 SEGMENT = re.compile(r"^segment\s+(\d+)\s+(\d+):(\d+)\s+(\d+):(\d+):(\d+):(\d+)(?:\s+(\S+)\s+(\S+))?")
@@ -74,11 +76,11 @@ def shortest_paths(edges: DataFrame, reject: str | None = None) -> DataFrame:
     e = edges.where(F.coalesce(F.col("cls"), F.lit("")) != reject) if reject else edges
     e = e.select("lattice_id", F.col("start").cast("long"), F.col("stop").cast("long"), F.col("cost").cast("double"), F.coalesce("cls", F.lit("")).alias("cls"))
 
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        found = best_path(list(zip(g["start"], g["stop"], g["cost"], g["cls"], strict=True)), int(g["start"].min()), int(g["stop"].max()))
-        return pd.DataFrame([(int(g["lattice_id"].iloc[0]), *found)] if found else [], columns=["lattice_id", "cost", "text"])
+    def solve(group: list[tuple]) -> list[tuple]:
+        found = best_path(group, min(g[0] for g in group), max(g[1] for g in group))
+        return [found] if found else []
 
-    return e.groupBy("lattice_id").applyInPandas(solve, "lattice_id long, cost double, text string")
+    return per_group(e, "lattice_id", ["start", "stop", "cost", "cls"], solve, "cost double, text string")
 
 
 def beam(edges: list[tuple[int, int, float, str]], model: dict[str, dict[str, float]], order: int, width: int, missing: float, weight: float, rewrites: dict[str, list[tuple[str, float]]] | None = None) -> tuple[float, str] | None:
@@ -121,12 +123,12 @@ def beam_search(edges: DataFrame, model: DataFrame, order: int = 3, width: int =
         changes.setdefault(r["src"], []).append((r["dst"], r["cost"]))
     sent = edges.sparkSession.sparkContext.broadcast((table, changes))
 
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
+    def solve(group: list[tuple]) -> list[tuple]:
         t, c = sent.value
-        found = beam(list(zip(g["start"], g["stop"], g["cost"], g["cls"], strict=True)), t, order, width, missing, weight, c)
-        return pd.DataFrame([(int(g["lattice_id"].iloc[0]), *found)] if found else [], columns=["lattice_id", "cost", "text"])
+        found = beam(group, t, order, width, missing, weight, c)
+        return [found] if found else []
 
-    return edges.select("lattice_id", "start", "stop", "cost", "cls").groupBy("lattice_id").applyInPandas(solve, "lattice_id long, cost double, text string")
+    return per_group(edges, "lattice_id", ["start", "stop", "cost", "cls"], solve, "cost double, text string")
 
 
 def _beam_search_joined(edges: DataFrame, model: DataFrame, order: int, width: int, missing: float, weight: float, rewrites: DataFrame | None) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineloom.functions import text
 from lineloom.functions.geometry import Rect
 from lineloom.operators import quantiles
+from lineloom.operators.grouping import per_group
 
 
 def reading_order(boxes: DataFrame, page: str = "page_no", key: str = "line_id") -> DataFrame:
@@ -50,16 +50,15 @@ def topological_order(nodes: list[int], before: dict[int, list[int]]) -> list[in
 
 def in_reading_order(boxes: DataFrame, page: str = "page_no", key: str = "line_id") -> DataFrame:
     """(page, key, position) with the lines of each page in topological order of reading_order."""
-    pairs = reading_order(boxes, page, key).groupBy(page, F.col("v").alias(key)).agg(F.array_sort(F.collect_set("u")).alias("before"))
-    rows = boxes.select(page, key).join(pairs, [page, key], "left").select(F.col(page).cast("long").alias(page), F.col(key).cast("long").alias(key), F.col("before").cast("array<long>").alias("before"))
+    rows = boxes.select(page, F.col(key).cast("long").alias("k"), F.lit(None).cast("long").alias("u")).unionByName(reading_order(boxes, page, key).select(page, F.col("v").cast("long").alias("k"), F.col("u").cast("long").alias("u")))
 
-    def order(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(key, kind="stable")
-        before = {k: list(b) for k, b in zip(group[key], group["before"], strict=True) if b is not None}
-        found = topological_order(group[key].tolist(), before)
-        return pd.DataFrame({page: group[page].iloc[0], key: found, "position": range(len(found))})
+    def order(group: list[tuple]) -> list[tuple]:
+        before: dict[int, set[int]] = {}
+        for k, u in group:
+            before.setdefault(k, set()).update(() if u is None else (u,))
+        return [(k, i) for i, k in enumerate(topological_order(sorted(before), {k: sorted(us) for k, us in before.items()}))]
 
-    return rows.groupBy(page).applyInPandas(order, f"{page} long, {key} long, position long")
+    return per_group(rows, page, ["k", "u"], order, f"{key} long, position long")
 
 
 def number_lines(ordered: DataFrame, page: str = "page_no", by: str = "position") -> DataFrame:
@@ -111,24 +110,24 @@ def hocr(lines: DataFrame, book: str = "book") -> DataFrame:
     return books.select(book, F.concat(F.lit(head), F.array_join(F.transform("p", lambda x: x["s"]), ""), F.lit(tail)).alias("html"))
 
 
-def pack_intervals(segments: DataFrame, group: str, start: str = "start", stop: str = "stop") -> DataFrame:
-    """segments with row: longest first, each in the first row where it overlaps nothing."""
-    kept = segments.schema.fieldNames()
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.schema) + ", row long"
+def pack_intervals(segments: DataFrame, group: str, start: str = "start", stop: str = "stop", tie: str | None = None) -> DataFrame:
+    """(group, tie, start, stop, row): longest first (of equal ones by start, stop and tie), each in the first row where it overlaps nothing."""
+    tie = tie or start
 
-    def pack(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.assign(_n=g[start] - g[stop]).sort_values(["_n", start, stop], kind="stable")
-        rows: list[list[tuple[int, int]]] = []
+    def pack(group: list[tuple]) -> list[tuple]:
+        placed: list[list[tuple[int, int]]] = []
         out = []
-        for a, b in zip(g[start], g[stop], strict=True):
-            k = next((i for i, r in enumerate(rows) if all(b <= s or a >= e for s, e in r)), len(rows))
-            if k == len(rows):
-                rows.append([])
-            rows[k].append((a, b))
-            out.append(k)
-        return g[kept].assign(row=out)
-
-    return segments.groupBy(group).applyInPandas(pack, ddl)
+        for _, a, b, t in sorted((a - b, a, b, t) for a, b, t in group):
+            k = next((i for i, r in enumerate(placed) if all(b <= s or a >= e for s, e in r)), len(placed))
+            if k == len(placed):
+                placed.append([])
+            placed[k].append((a, b))
+            out.append((a, b, t, k))
+        return out
+
+    rows = segments.select(group, *(F.col(c).cast("long").alias(n) for n, c in (("a", start), ("b", stop), ("t", tie))))
+    found = per_group(rows, group, ["a", "b", "t"], pack, "a long, b long, t long, row long")
+    return found.select(group, *([F.col("t").alias(tie)] if tie != start else []), F.col("a").alias(start), F.col("b").alias(stop), "row")
 
 
 def fit_line(boxes: DataFrame, by: str) -> DataFrame:

@@ -97,10 +97,15 @@ def hocr_report(spark, sf):
     return layout.hocr(layout.paragraph_breaks(lines, F.lit(10)))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE s AS (SELECT page_no, line_id, x0 AS start, x1 AS stop, row_number() OVER (PARTITION BY page_no ORDER BY x0 - x1, x0, x1, line_id) AS k FROM ({BOXES_SQL})),
+p AS (SELECT page_no, k, CAST(0 AS BIGINT) AS r, [{{'r': CAST(0 AS BIGINT), 'a': start, 'b': stop}}] AS placed FROM s WHERE k = 1 UNION ALL SELECT page_no, k, r, list_append(placed, {{'r': r, 'a': a, 'b': b}}) FROM (SELECT p.page_no, s.k, s.start AS a, s.stop AS b, p.placed,
+list_min(list_filter(range(s.k), lambda i: len(list_filter(p.placed, lambda q: q.r = i AND NOT (s.stop <= q.a OR s.start >= q.b))) = 0)) AS r FROM p JOIN s ON s.page_no = p.page_no AND s.k = p.k + 1))
+SELECT s.page_no, s.line_id, s.start, s.stop, p.r AS row FROM s JOIN p ON p.page_no = s.page_no AND p.k = s.k"""
+)
 def interval_packing(spark, sf):
     """Each box of a page in the first row where it overlaps nothing, longest first."""
-    return layout.pack_intervals(_boxes(spark, sf).select("page_no", "line_id", F.col("x0").alias("start"), F.col("x1").alias("stop")), "page_no")
+    return layout.pack_intervals(_boxes(spark, sf).select("page_no", "line_id", F.col("x0").alias("start"), F.col("x1").alias("stop")), "page_no", tie="line_id")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size < 5 THEN 'too small' WHEN p_size > 45 THEN 'too large' WHEN p_retailprice < 905 THEN 'too cheap' END AS reject_reason FROM part")

@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not base and there.isDefined():
         return there.get().rstrip("/")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lineloom-")
     if not there.isDefined():
@@ -28,7 +28,17 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lineloom-{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read from there, so that nothing before it runs again."""
+    """df written to the shared folder and read from there, so that nothing before it runs again.
+
+    Sessions with spark.cleaner.referenceTracking.cleanCheckpoints delete the files when nothing refers to them any more;
+    in others they stay until the folder is cleared, as checkpoints do.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
