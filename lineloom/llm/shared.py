@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lineloom.storage import cut, fresh_path, remove, shared_dir  # noqa: F401
+
 #: A side is broadcast only while its rows, at BROADCAST_ROW_BYTES each, stay below this.
 BROADCAST_BYTES = 32 << 20
 BROADCAST_ROW_BYTES = 64
@@ -19,37 +19,6 @@ BROADCAST_ROW_BYTES = 64
 BATCH_BYTES, _BATCH = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir as the cluster names it.
-
-    Only where it is unset (tests, a laptop) a fresh local folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(base)
-        return base.rstrip("/")
-    there = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if there.isDefined():
-        return there.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="lineloom-")
-    spark.sparkContext.setCheckpointDir(base)
-    return base
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/lineloom-{label}-{uuid.uuid4().hex}"
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """df, its session sending texts to Python tasks in batches of BATCH_BYTES, which bounds what a task holds of them."""
     if df.sparkSession.conf.get(_BATCH, "67108864b") in ("67108864", "67108864b", "64m", "64MB"):
@@ -114,16 +83,6 @@ def by_group(df: DataFrame, keys: list[str], run: Callable[[pa.Table, np.ndarray
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(stream), schema)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise to the shared folder and cut the lineage.
-
-    Sessions with spark.cleaner.referenceTracking.cleanCheckpoints delete the files when nothing refers to them any more;
-    in others they stay until the folder is cleared, as checkpoints do.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def small_enough(rows: int, row_bytes: int = BROADCAST_ROW_BYTES) -> bool:
     return rows * row_bytes <= BROADCAST_BYTES
 
