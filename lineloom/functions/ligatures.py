@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 ASCII = string.digits + string.ascii_letters + string.punctuation
 SETS = {
-    "digits": string.digits, "letters": string.ascii_letters, "symbols": string.punctuation, "ascii": ASCII, "xsymbols": "€¢£»«›‹÷©®†‡°∙•◦‣¶§¡¿▪▫", "german": "ÄäÖöÜüß",
+    "digits": string.digits, "letters": string.ascii_letters, "symbols": string.punctuation, "ascii": ASCII, "xsymbols": "©®°§¶†‡¡¿«»‹›÷¢£€•‣∙◦▪▫", "german": "ÄäÖöÜüß",
     "french": "ÀàÂâÆæÇçÉéÈèÊêËëÎîÏïÔôŒœÙùÛûÜüŸÿ", "portuguese": "ÁÃÌÍÒÓÕÚáãìíòóõú", "turkish": "ĞğŞşıſ", "greek": "".join(map(chr, [*range(0x391, 0x3A2), *range(0x3A3, 0x3AA), *range(0x3B1, 0x3CA)])),
 }
 SETS["default"] = "".join(dict.fromkeys(ASCII + SETS["xsymbols"] + SETS["german"] + SETS["french"] + SETS["portuguese"]))

@@ -65,8 +65,8 @@ def good_ratio(rows: DataFrame, by: str, order: list[str], cost: Column, most: f
 def class_mixture(rows: DataFrame, cls: str, least: int) -> DataFrame:
     """(cls, n, share) of the classes of `least` rows or more, most first; share is of all that are left."""
     kept = rows.groupBy(cls).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    total = kept.agg(F.sum("n").alias("t"))
-    return kept.join(F.broadcast(total)).select(cls, "n", F.round(F.col("n") / F.col("t"), 6).alias("share")).orderBy(F.desc("n"), cls)  # one row
+    total = kept.agg(F.sum("n").alias("t"))  # one row
+    return kept.join(F.broadcast(total)).select(cls, "n", F.round(F.col("n") / F.col("t"), 6).alias("share")).orderBy(F.desc("n"), cls)
 
 
 def best_threshold(rows: DataFrame, value: str, weight: str, cuts: list[float]) -> DataFrame:

@@ -48,7 +48,8 @@ def change_decode(frames: DataFrame, seq: str = "seq_id") -> DataFrame:
 
 def _log_add(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """log(e^x + e^y), taken as the greater one where they are more than 10 apart."""
-    return np.where(np.abs(x - y) > 10, np.maximum(x, y), np.logaddexp(x, y))
+    most, apart = np.maximum(x, y), np.abs(x - y)
+    return most + np.where(apart > 10, 0, np.log1p(np.exp(-apart)))
 
 
 def _forward(match: np.ndarray, skip: float = -5.0) -> np.ndarray:

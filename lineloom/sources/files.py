@@ -34,7 +34,7 @@ def transcripts(spark: SparkSession, paths: str | list[str], normalize: bool = T
 
 
 def files_listed(spark: SparkSession, list_file: str) -> list[str]:
-    """File names from a list file, one a line, blank lines and # comments left out."""
+    """File names from a list file, one a line, blank lines and # comments left out; a reader needs its paths on the driver."""
     return [r["value"] for r in spark.read.text(list_file).where("trim(value) <> '' and not startswith(value, '#')").collect()]
 
 

@@ -154,7 +154,7 @@ def plain_alignment(outputs, targets, lo=1e-5):
     match = [[np.log(sum(p[t, c] * targets[s, c] for c in range(p.shape[1]))) for s in range(k)] for t in range(n)]
 
     def add(x, y):
-        return max(x, y) if abs(x - y) > 10 else np.log(np.exp(x - y) + 1) + y
+        return max(x, y) + (0 if abs(x - y) > 10 else np.log(1 + np.exp(-abs(x - y))))
 
     def walk(m):
         v, rows = [-5.0 * s for s in range(k)], []
