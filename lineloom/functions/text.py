@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,10 +49,9 @@ def _model_folds(col: Column) -> Column:
 
 
 def _form(kind: str):
-    @F.pandas_udf("string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize(kind, x))
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([x if x is None or x.isascii() or unicodedata.is_normalized(kind, x) else unicodedata.normalize(kind, x) for x in texts.to_pylist()], pa.string())
 
     return run
 
