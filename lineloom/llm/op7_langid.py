@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from lineloom.llm import shared, textkernel
 
 TRAIN_DOCS, TRAIN_CHARS, WINDOW, MAX_BITS = 60, 40_000, 1024, 4.5
-SLICE = 4 << 20
+SLICE = 2 << 20
 LENGTHS, MARGIN = tuple(1 << k for k in range(10)), 1.3
 DENSE = 8 << 20
 _SPACE, _OTHER, _BEGINS = 0, 1, 1 << 31  # bit 31: a phrase begins here
