@@ -213,7 +213,7 @@ def _planted_pages(spark, sf):
         for part in parts:
             yield pd.DataFrame({"page_id": part["page_id"], "content": [page(int(k)) for k in part["page_id"]]})
 
-    return _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id")).repartition(16).mapInPandas(draw, "page_id long, content binary")
+    return _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id")).repartition(max(16, 4 * spark.sparkContext.defaultParallelism)).mapInPandas(draw, "page_id long, content binary")
 
 
 @query(f"SELECT page_id, label, y0, x0, y1, x1 FROM ({LINES_SQL})")

@@ -53,10 +53,10 @@ def encode_png(a: np.ndarray) -> bytes:
     elif a.dtype == np.uint8:
         rows, kind = a, 0
     else:
-        rows, kind = np.stack([(a >> s) & 255 for s in (16, 8, 0)], -1).astype(np.uint8).reshape(a.shape[0], -1), 2
+        rows, kind = np.ascontiguousarray(a.astype(">u4")).view(np.uint8).reshape(*a.shape, 4)[..., 1:].reshape(a.shape[0], -1), 2
     body = b"".join(b"\0" + r.tobytes() for r in rows)
     chunk = lambda t, d: struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(body, 1)) + chunk(b"IEND", b"")
 
 
 def decode_png(raw: bytes) -> np.ndarray:
