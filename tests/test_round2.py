@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 
 from lineloom.operators import imaging, segmentation
+from lineloom.plans import catalog
 
 
 def _page(lines: int = 5) -> np.ndarray:
@@ -47,3 +49,14 @@ def test_boxes_and_labels_of_touching_runs():
     lab = np.array([[1, 1, 2, 0, 3], [3, 0, 2, 2, 0], [0, 0, 0, 0, 7]])
     assert imaging.boxes(lab).tolist() == [[1, 0, 0, 1, 2], [2, 0, 2, 2, 4], [3, 0, 0, 2, 5], [7, 2, 4, 3, 5]]
     assert imaging.label(np.ones((3, 4))).tolist() == [[1] * 4] * 3 and imaging.boxes(np.zeros((2, 2), int)).shape == (0, 5)
+
+
+def test_packed_classes_of_all_characters_and_of_an_empty_text(spark, tmp_path):
+    every = [chr(i) for i in [*range(0xD800), *range(0xE000, 0x10000), 0x1F600]]
+    rows = [(1, "", "en"), (2, "".join(every), "en"), (3, None, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(catalog.ORACLES["class_pack"]).fetchall()
+    got = [(r["ch"], r["packed"]) for r in catalog.QUERIES["class_pack"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and ("", -1) in got and len(got) == len(every) + 1
