@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Values that lines of one length have together while they are decoded.
+BATCH_VALUES = 1 << 20
+
 
 def codec(chars: DataFrame, column: str = "ch") -> DataFrame:
     """(ch, code) of the distinct characters with blank "", reject "~" and the space; 0 is the blank."""
@@ -108,6 +111,19 @@ class Lstm:
             h = out[t] = self.o[t] * np.tanh(s)
         return out
 
+    def outputs(self, xs: np.ndarray) -> np.ndarray:
+        """What forward gives, for many sequences of one length at once (sequence, frame, input); nothing is kept."""
+        w, k, d = np.vstack([self.w[g] for g in "ifoc"]), self.states, xs.shape[2]
+        if w.shape[1] != 1 + d + k:
+            raise ValueError(f"frames of {d} values, not of {w.shape[1] - 1 - k}")
+        own, again, out = xs @ w[:, 1 : 1 + d].T + w[:, 0], w[:, 1 + d :].T, np.empty((*xs.shape[:2], k))
+        s = h = np.zeros((len(xs), k))
+        for t in range(xs.shape[1]):
+            z = own[:, t] + h @ again
+            s = _sig(z[:, k : 2 * k] + self.p["f"] * s) * s + _sig(z[:, :k] + self.p["i"] * s) * np.tanh(z[:, 3 * k :])
+            h = out[:, t] = _sig(z[:, 2 * k : 3 * k] + (self.p["o"] * s if t else 0)) * np.tanh(s)
+        return out
+
     def backward(self, deltas: np.ndarray) -> list[np.ndarray]:
         """Gradients of the weights, in their order, for what the outputs of the last forward pass should change by."""
         n, k = deltas.shape
@@ -149,6 +165,13 @@ class Recogniser:
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
+    def predict_many(self, xs: np.ndarray) -> np.ndarray:
+        """predict for sequences of one length (sequence, frame, input)."""
+        f = np.concatenate([np.ones((*xs.shape[:2], 1)), self.forth.outputs(xs), np.flip(self.back.outputs(np.flip(xs, 1)), 1)], 2)
+        z = f @ self.top.T
+        z = np.exp(z - z.max(2, keepdims=True))
+        return z / z.sum(2, keepdims=True)
+
     def gradients(self, xs: np.ndarray, codes: list[int]) -> tuple[float, list[np.ndarray]]:
         """(mean absolute difference to the aligned targets of the codes, direction in which the weights improve)."""
         classes, k = len(self.top), self.forth.states
@@ -240,17 +263,14 @@ def recognise(frames: DataFrame, model: Recogniser, seq: str = "seq_id", thresho
 
 def decode_runs(p: np.ndarray, threshold: float = 0.7) -> list[tuple[int, int, float]]:
     """(frame, class, probability) of the greatest value but the blank's in each run of frames that are not blank."""
-    on, out, t = p[:, 0] < threshold, [], 0
-    while t < len(p):
-        if not on[t]:
-            t += 1
-            continue
-        e = t
-        while e < len(p) and on[e]:
-            e += 1
-        at, k = divmod(int(p[t:e, 1:].argmax()), p.shape[1] - 1)
-        out.append((t + at, k + 1, float(p[t + at, k + 1])))
-        t = e
+    on, best = (p[:, 0] < threshold).tolist(), p[:, 1:].argmax(1) + 1
+    value, best, out, before = p[np.arange(len(p)), best].tolist(), best.tolist(), [], False
+    for t, now in enumerate(on):
+        if now and not before:
+            out.append((t, best[t], value[t]))
+        elif now and value[t] > out[-1][2]:
+            out[-1] = (t, best[t], value[t])
+        before = now
     return out
 
 
@@ -262,25 +282,52 @@ def decode_array(p: np.ndarray, threshold: float = 0.7) -> list[int]:
 def recognise_lines(lines: DataFrame, model: Recogniser, codec: list[str], key: str = "line_id", pad: int = 16, threshold: float = 0.7) -> DataFrame:
     """(key, text, chars, error) of line images (data row-major, height): chars holds ch, x and p of every character.
 
-    x is the place in the image, the padding taken off. Each line is decoded in its task; one that fails has an error only.
+    x is the place in the image, the padding taken off. Lines of one length are decoded together, a bounded number at a
+    time; one that fails has an error only.
     """
     sent = lines.sparkSession.sparkContext.broadcast((model, codec))
 
+    def decoded(own: Recogniser, names: list[str], frames: list[np.ndarray]) -> list[tuple]:
+        out = []
+        for p, f in zip(own.predict_many(np.stack(frames)), frames, strict=True):
+            try:
+                chars = [{"ch": names[c], "x": float(min(max(t - pad, 0), len(f) - 2 * pad - 1)), "p": v} for t, c, v in decode_runs(p, threshold)]
+                out.append(("".join(c["ch"] for c in chars), chars, None))
+            except IndexError as e:
+                out.append((None, None, f"{type(e).__name__}: {e}"))
+        return out
+
     def run(parts):
         own, names = sent.value
+        width = 4 * own.forth.states + len(own.top)
         for part in parts:
-            out = []
-            for k, data, h in zip(part[key], part["data"], part["height"], strict=True):
+            out: list[tuple] = [()] * len(part)
+            waiting: dict[tuple, list[tuple[int, np.ndarray]]] = {}
+
+            def settle(some: list[tuple[int, np.ndarray]], out=out) -> None:
+                try:
+                    found = decoded(own, names, [f for _, f in some])
+                except (ValueError, TypeError) as e:
+                    found = [(None, None, f"{type(e).__name__}: {e}")] * len(some)
+                for (i, _), row in zip(some, found, strict=True):
+                    out[i] = row
+
+            for i, (data, h) in enumerate(zip(part["data"], part["height"], strict=True)):
                 try:
                     a = np.asarray(data, float).reshape(int(h), -1)
                     if a.size < 10 or a.min() == a.max():
                         raise ValueError("degenerate line")
-                    found = decode_runs(own.predict(prepare_line(a, pad)), threshold)
-                    chars = [{"ch": names[c], "x": float(min(max(t - pad, 0), a.shape[1] - 1)), "p": p} for t, c, p in found]
-                    out.append((k, "".join(c["ch"] for c in chars), chars, None))
+                    f = prepare_line(a, pad)
                 except (ValueError, TypeError, IndexError) as e:
-                    out.append((k, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=[key, "text", "chars", "error"])
+                    out[i] = (None, None, f"{type(e).__name__}: {e}")
+                    continue
+                same = waiting.setdefault(f.shape, [])
+                same.append((i, f))
+                if len(same) * len(f) * (width + f.shape[1]) >= BATCH_VALUES:
+                    settle(waiting.pop(f.shape))
+            for same in waiting.values():
+                settle(same)
+            yield pd.DataFrame({key: part[key], **{c: [r[k] for r in out] for k, c in enumerate(("text", "chars", "error"))}})
 
     return lines.select(F.col(key).cast("long").alias(key), "data", "height").mapInPandas(run, f"{key} long, text string, chars array<struct<ch string, x double, p double>>, error string")
 

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lineloom.operators import imaging, records, segmentation
+from lineloom.operators import imaging, records, segmentation, sequence
 from lineloom.operators.nearest import Trie, rounded
 from lineloom.plans import catalog
 
@@ -100,3 +100,21 @@ def test_matched_truth_makes_no_pairs_of_equal_texts(spark, monkeypatch, cell):
             cost, i = min(own)
             want.add((page, line, i, None if cost == float("inf") else cost))
     assert {tuple(r) for r in out.collect()} == want and "levenshtein" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_of_one_length_are_read_together_as_one_by_one(spark, monkeypatch):
+    rng, m = np.random.default_rng(1), sequence.Recogniser(4, 6, 5, seed=3)
+    for w in m.weights():
+        w[...] = rng.normal(0, 1.5, w.shape)
+    lines = [rng.random((4, int(rng.integers(3, 9)))) for _ in range(60)]
+    xs = [sequence.prepare_line(a, 2) for a in lines]
+    assert np.allclose(m.predict_many(np.stack([xs[0], xs[0][::-1]])), [m.predict(xs[0]), m.predict(xs[0][::-1])], atol=1e-12)
+    want = {k: [("_abcd"[c], p) for _, c, p in sequence.decode_runs(m.predict(x))] for k, x in enumerate(xs)}
+    rows = [(k, a.ravel().tolist(), 4) for k, a in enumerate(lines)] + [(90, [0.1, 0.2] * 10, 5), (91, None, 4), (92, [1.0] * 40, 4)]
+    df = spark.createDataFrame(rows, "line_id long, data array<double>, height int")
+    for size in (1 << 20, 300):
+        monkeypatch.setattr(sequence, "BATCH_VALUES", size)
+        got = {r["line_id"]: r for r in sequence.recognise_lines(df, m, list("_abcd"), pad=2).collect()}
+        assert len(got) == 63 and all(got[k]["error"] and got[k]["chars"] is None for k in (90, 91, 92))
+        for k, chars in want.items():
+            assert [c["ch"] for c in got[k]["chars"]] == [c for c, _ in chars] and np.allclose([c["p"] for c in got[k]["chars"]], [p for _, p in chars])
