@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from lineloom.operators import imaging, records, segmentation, sequence
+from lineloom.operators import imaging, records, segmentation, sequence, vectors
 from lineloom.operators.nearest import Trie, rounded
 from lineloom.plans import catalog
 
@@ -118,3 +118,15 @@ def test_lines_of_one_length_are_read_together_as_one_by_one(spark, monkeypatch)
         assert len(got) == 63 and all(got[k]["error"] and got[k]["chars"] is None for k in (90, 91, 92))
         for k, chars in want.items():
             assert [c["ch"] for c in got[k]["chars"]] == [c for c, _ in chars] and np.allclose([c["p"] for c in got[k]["chars"]], [p for _, p in chars])
+
+
+def test_new_leaders_meet_the_rest_in_pieces_of_bounded_size(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, held = rng.normal(size=(500, 3)), rng.normal(size=(40, 3))
+    d = np.sqrt(((x[:, None] - held[None]) ** 2).sum(-1)).min(1)
+    monkeypatch.setattr(vectors, "CHUNK_BYTES", 1000)
+    for eps in (0.3, float(d[7]), 2.0):
+        assert (vectors._closer(x, held, eps) == (((x[:, None] - held[None]) ** 2).sum(-1).min(1) < eps * eps)).all()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    one = sorted(r[0] for r in vectors.leaders(df, 0.5).collect())
+    assert sorted(r[0] for r in vectors.leaders(df.repartition(5), 0.5, batch=30).collect()) == one
