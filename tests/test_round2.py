@@ -130,3 +130,14 @@ def test_new_leaders_meet_the_rest_in_pieces_of_bounded_size(spark, monkeypatch)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     one = sorted(r[0] for r in vectors.leaders(df, 0.5).collect())
     assert sorted(r[0] for r in vectors.leaders(df.repartition(5), 0.5, batch=30).collect()) == one
+
+
+def test_search_has_every_fiftieth_vector_as_query_and_all_as_neighbours(spark):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r["vec_id"] for r in e]), np.array([r["embedding"] for r in e], float)
+    want = set()
+    for i in np.flatnonzero(ids % 50 == 0):
+        d = ((x - x[i]) ** 2).sum(1)
+        best = sorted((v, k) for v, k in zip(d, ids.tolist(), strict=True) if k != ids[i])[:5]
+        want |= {(int(ids[i]), k, n + 1) for n, (_, k) in enumerate(best)}
+    assert {(r["vec_id"], r["neighbour"], r["rank"]) for r in catalog.QUERIES["knn_join"](spark, "/root/testdata/sf0.001").collect()} == want
