@@ -141,3 +141,17 @@ def test_search_has_every_fiftieth_vector_as_query_and_all_as_neighbours(spark):
         best = sorted((v, k) for v, k in zip(d, ids.tolist(), strict=True) if k != ids[i])[:5]
         want |= {(int(ids[i]), k, n + 1) for n, (_, k) in enumerate(best)}
     assert {(r["vec_id"], r["neighbour"], r["rank"]) for r in catalog.QUERIES["knn_join"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_projections_of_all_signs_equal_the_sql_and_take_one_pass(spark, tmp_path):
+    rng = random.Random(8)
+    every = [chr(i) for i in [*range(1, 0xD800), *range(0xE000, 0x3000 * 16), 0x1F600]]
+    signs = "ab1 .~_#\"'`“”´‘’„…′″‴〃µμ–—ﬂﬁﬀﬃﬄıſßéÉéK\x1c\x1f\x85\xa0 　\t\n\x0b"
+    texts = ["", " ", None, "." * 50_000, ". " * 9, "a . . . . b ... c .. .. d", *("".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(400)), *("x ".join(every[i : i + 500]) for i in range(0, len(every), 500))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("text_project", "text_normalize"):
+        df, sql = catalog.QUERIES[name](spark, str(tmp_path)), con.execute(catalog.ORACLES[name])
+        assert df.columns == [c[0] for c in sql.description] and sorted(map(tuple, df.collect())) == sorted(sql.fetchall())
+        assert "regexp_replace" not in (plan := df._jdf.queryExecution().optimizedPlan().toString()) and plan.count("ArrowEvalPython") == 1
