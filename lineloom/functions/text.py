@@ -39,7 +39,7 @@ def _apply(col: Column, rules) -> Column:
 def _model_folds(col: Column) -> Column:
     """LM_FOLDS, of which no rule acts on what another gives: characters for characters at once, the rest by plain search."""
     col = F.regexp_replace(F.regexp_replace(col, r"[\x00-\x1f]+", ""), r"(?U)\s+", " ")
-    return F.replace(F.translate(col, "`´‘’ſȚ“”„‟~", "''''s,\"\"\"\""), F.lit('"'), F.lit("''"))
+    return F.replace(F.replace(F.translate(col, "`´‘’ſȚ“”‟~", "''''s,\"\"\""), F.lit('"'), F.lit("''")), F.lit("„"), F.lit(",,"))
 
 
 def _form(kind: str):
@@ -147,6 +147,20 @@ def fold_for_model(col: Column, digits: bool = False) -> Column:
     return _apply(_model_folds(col), DIGITS) if digits else _model_folds(col)
 
 
+_CONTROL = re.compile(LM_FOLDS[0][0] + "+")
+_FOLDED, _DIGITS = LM_FOLDS[2:], tuple((re.compile(p), r) for p, r in DIGITS)
+
+
+def folded(x: str, digits: bool = False) -> str:
+    """fold_for_model of one text, in Python."""
+    x = _SPACE.sub(" ", _CONTROL.sub("", x))
+    for c, r in _FOLDED:
+        x = x.replace(c, r)
+    for p, r in _DIGITS if digits else ():
+        x = p.sub(r, x)
+    return x
+
+
 def size_category(col: Column) -> Column:
     """x height, k ascender, y descender, "." or "'" of a single character, null otherwise."""
     classes = (("acemnorsuvwxyz", "x"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZbdfhklt!?", "k"), ("gpqy", "y"), (".,", "."), ("'\"`", "'"))

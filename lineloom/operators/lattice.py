@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -40,6 +41,22 @@ def lattice_lines(edges: DataFrame) -> DataFrame:
     return made.select("lattice_id", (F.col("i") * (1 << 20) + F.col("j")).alias("pos"), "line")
 
 
+def bridged(edges: list[tuple[int, int, float, str]], cost: float = 10.0) -> list[tuple[int, int, float, str]]:
+    """A lattice's edges with an epsilon edge from node to node wherever it has none, so that its end can be reached."""
+    have = {(e[0], e[1]) for e in edges}
+    return edges + [(k, k + 1, cost, "") for k in range(min(e[0] for e in edges), max(e[1] for e in edges)) if (k, k + 1) not in have]
+
+
+def connected(edges: DataFrame, cost: float = 10.0) -> DataFrame:
+    """edges with all lattices bridged; searches do that themselves where they are told the cost."""
+    return _per_lattice(edges, lambda group: bridged(group, cost), "start long, stop long, cost double, cls string")
+
+
+def _per_lattice(edges: DataFrame, f: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    e = edges.select("lattice_id", F.col("start").cast("long"), F.col("stop").cast("long"), F.col("cost").cast("double"), "cls")
+    return per_group(e, "lattice_id", ["start", "stop", "cost", "cls"], f, schema)
+
+
 def with_space_edges(edges: DataFrame, cost: str = "space_cost") -> DataFrame:
     """Each edge also with a space after its class, where the edge has a cost for that."""
     plain = edges.drop(cost)
@@ -68,19 +85,18 @@ def best_path(edges: list[tuple[int, int, float, str]], start: int, end: int) ->
     return None
 
 
-def shortest_paths(edges: DataFrame, reject: str | None = None) -> DataFrame:
+def shortest_paths(edges: DataFrame, reject: str | None = None, bridge: float | None = None) -> DataFrame:
     """(lattice_id, cost, text) from the least start to the greatest stop of each lattice; reject names a class to leave out.
 
-    Lattices whose end can't be reached are missing.
+    bridge: the cost of epsilon edges where none goes from a node to the next. Lattices whose end can't be reached are missing.
     """
-    e = edges.where(F.coalesce(F.col("cls"), F.lit("")) != reject) if reject else edges
-    e = e.select("lattice_id", F.col("start").cast("long"), F.col("stop").cast("long"), F.col("cost").cast("double"), F.coalesce("cls", F.lit("")).alias("cls"))
 
     def solve(group: list[tuple]) -> list[tuple]:
-        found = best_path(group, min(g[0] for g in group), max(g[1] for g in group))
+        own = [(a, b, c, s or "") for a, b, c, s in (group if bridge is None else bridged(group, bridge)) if not reject or s != reject]
+        found = best_path(own, min(e[0] for e in own), max(e[1] for e in own)) if own else None
         return [found] if found else []
 
-    return per_group(e, "lattice_id", ["start", "stop", "cost", "cls"], solve, "cost double, text string")
+    return _per_lattice(edges, solve, "cost double, text string")
 
 
 def beam(edges: list[tuple[int, int, float, str]], model: dict[str, dict[str, float]], order: int, width: int, missing: float, weight: float, rewrites: dict[str, list[tuple[str, float]]] | None = None) -> tuple[float, str] | None:
@@ -107,17 +123,18 @@ def beam(edges: list[tuple[int, int, float, str]], model: dict[str, dict[str, fl
     return (at[end][0][0], at[end][0][1][order - 1 :]) if at.get(end) else None
 
 
-def beam_search(edges: DataFrame, model: DataFrame, order: int = 3, width: int = 100, missing: float = 15.0, weight: float = 1.0, rewrites: DataFrame | None = None) -> DataFrame:
-    """(lattice_id, cost, text) with an n-graph model (prefix, ch, neglogp).
+def beam_search(edges: DataFrame, model: DataFrame, order: int = 3, width: int = 100, missing: float = 15.0, weight: float = 1.0, rewrites: DataFrame | None = None, bridge: float | None = None) -> DataFrame:
+    """(lattice_id, cost, text) with an n-graph model (prefix, ch, neglogp); bridge as of shortest_paths.
 
     A model of MODEL_ROWS n-graphs at most is sent to the tasks. Of a larger one each lattice gets the n-graphs that end in
     one of its characters, joined by character.
     """
-    if model.count() > MODEL_ROWS:
-        return _beam_search_joined(edges, model, order, width, missing, weight, rewrites)
+    rows = model.select("prefix", "ch", "neglogp").limit(MODEL_ROWS + 1).toArrow()  # the model is made once
+    if rows.num_rows > MODEL_ROWS:
+        return _beam_search_joined(edges if bridge is None else connected(edges, bridge), model, order, width, missing, weight, rewrites)
     table: dict[str, dict[str, float]] = {}
-    for r in model.collect():
-        table.setdefault(r["prefix"], {})[r["ch"]] = r["neglogp"]
+    for prefix, ch, cost in zip(*(rows.column(k).to_pylist() for k in range(3)), strict=True):
+        table.setdefault(prefix, {})[ch] = cost
     changes: dict[str, list] = {}
     for r in rewrites.collect() if rewrites is not None else ():
         changes.setdefault(r["src"], []).append((r["dst"], r["cost"]))
@@ -125,10 +142,10 @@ def beam_search(edges: DataFrame, model: DataFrame, order: int = 3, width: int =
 
     def solve(group: list[tuple]) -> list[tuple]:
         t, c = sent.value
-        found = beam(group, t, order, width, missing, weight, c)
+        found = beam(group if bridge is None else bridged(group, bridge), t, order, width, missing, weight, c)
         return [found] if found else []
 
-    return per_group(edges, "lattice_id", ["start", "stop", "cost", "cls"], solve, "cost double, text string")
+    return _per_lattice(edges, solve, "cost double, text string")
 
 
 def _beam_search_joined(edges: DataFrame, model: DataFrame, order: int, width: int, missing: float, weight: float, rewrites: DataFrame | None) -> DataFrame:
@@ -177,11 +194,3 @@ def align_to_truth(edges: list[tuple[int, int, float, str]], truth: str, skip: f
                 heapq.heappush(heap, (cost + c, b, k + len(s), (*path, (node, b, s))))
             heapq.heappush(heap, (cost + c + skip, b, k, path))
     return None
-
-
-def connected(edges: DataFrame, cost: float = 10.0) -> DataFrame:
-    """edges with an epsilon edge from node to node wherever a lattice has none, so that its end can be reached."""
-    bounds = edges.groupBy("lattice_id").agg(F.min("start").alias("a"), F.max("stop").alias("b"))
-    steps = bounds.select("lattice_id", F.explode(F.sequence("a", F.col("b") - 1)).alias("start")).withColumn("stop", F.col("start") + 1)
-    missing = steps.join(edges.select("lattice_id", "start", "stop").distinct(), ["lattice_id", "start", "stop"], "left_anti")
-    return edges.unionByName(missing.withColumn("cost", F.lit(float(cost))).withColumn("cls", F.lit("")))

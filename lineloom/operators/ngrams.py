@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,10 +20,11 @@ def counts(lines: DataFrame, n: int, column: str = "line", digits: bool = False,
 
     drop_last leaves out the last n-graph of each line, as models built this way always have.
     """
-    pad = F.lit("_" * (n - 1))
-    folded = lines.where(F.length(column) >= 3).select(F.concat(pad, text.fold_for_model(F.col(column), digits), pad).alias("s"))
+    long = lines.where(F.length(column) >= 3)
     if n <= PACKED:
-        return folded.mapInArrow(_batch_counts(n, drop_last), "prefix string, ch string, n long").groupBy("prefix", "ch").agg(F.sum("n").alias("n"))
+        return long.select(column).mapInArrow(_batch_counts(n, digits, drop_last), "prefix string, ch string, n long").groupBy("prefix", "ch").agg(F.sum("n").alias("n"))
+    pad = F.lit("_" * (n - 1))
+    folded = long.select(F.concat(pad, text.fold_for_model(F.col(column), digits), pad).alias("s"))
     chars = folded.select(F.split("s", "").alias("s"))
     last = F.size("s") - n + (0 if drop_last else 1)
     whole = F.transform(F.sequence(F.lit(0), last - 1), lambda i: F.concat(*(F.get("s", i + k) for k in range(n))))
@@ -32,21 +32,30 @@ def counts(lines: DataFrame, n: int, column: str = "line", digits: bool = False,
     return grams.groupBy("g").agg(F.count("*").alias("n")).select(F.substring("g", 1, n - 1).alias("prefix"), F.substring("g", n, 1).alias("ch"), "n")
 
 
-def _batch_counts(n: int, drop_last: bool):
-    """Counts of each batch: its characters as numbers, n of them packed in one, so only distinct n-graphs become rows."""
+def _batch_counts(n: int, digits: bool, drop_last: bool):
+    """Counts of each batch: its folded characters as numbers, n of them packed in one, so only distinct n-graphs become rows."""
+    pad = "_" * (n - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(0)
-            points = np.frombuffer("".join(column.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
-            size = pc.utf8_length(column).to_numpy(zero_copy_only=False)
+            lines = [pad + text.folded(x, digits) + pad for x in batch.column(0).to_pylist()]
+            points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.int64)
+            size = np.array([len(x) for x in lines], np.int64)
             count = np.maximum(size - n + (0 if drop_last else 1), 0)
             start = np.repeat(np.cumsum(size) - size - np.cumsum(count) + count, count) + np.arange(count.sum())
-            packed = np.zeros(len(start), np.int64)
+            there = np.flatnonzero(np.bincount(points))  # the batch's characters, few as they are, numbered
+            number = np.zeros(there[-1] + 1 if len(there) else 0, np.int64)
+            number[there] = np.arange(len(there))
+            coded, packed = number[points], np.zeros(len(start), np.int64)
             for k in range(n):
-                packed = packed << 21 | points[start + k]
-            found, times = np.unique(packed, return_counts=True)
-            chars = np.stack([found >> 21 * (n - 1 - k) & 0x1FFFFF for k in range(n)], 1).astype("<u4").tobytes().decode("utf-32-le")
+                packed = packed * len(there) + coded[start + k]
+            if len(there) ** n <= 4 * len(packed):
+                times = np.bincount(packed)
+                found = np.flatnonzero(times)
+                times = times[found]
+            else:
+                found, times = np.unique(packed, return_counts=True)
+            chars = np.stack([there[found // len(there) ** (n - 1 - k) % len(there)] for k in range(n)], 1).astype("<u4").tobytes().decode("utf-32-le")
             yield pa.RecordBatch.from_arrays([pa.array([chars[i : i + n - 1] for i in range(0, len(chars), n)], pa.string()), pa.array(list(chars[n - 1 :: n]), pa.string()), pa.array(times.astype(np.int64))], ["prefix", "ch", "n"])
 
     return run

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lineloom.operators import imaging, records, segmentation, sequence, vectors
+from lineloom.functions import text
+from lineloom.operators import grouping, imaging, lattice, ngrams, records, segmentation, sequence, vectors
 from lineloom.operators.nearest import Trie, rounded
 from lineloom.plans import catalog
 
@@ -155,3 +158,72 @@ def test_projections_of_all_signs_equal_the_sql_and_take_one_pass(spark, tmp_pat
         df, sql = catalog.QUERIES[name](spark, str(tmp_path)), con.execute(catalog.ORACLES[name])
         assert df.columns == [c[0] for c in sql.description] and sorted(map(tuple, df.collect())) == sorted(sql.fetchall())
         assert "regexp_replace" not in (plan := df._jdf.queryExecution().optimizedPlan().toString()) and plan.count("ArrowEvalPython") == 1
+
+
+def _lattice_rows(seed: int, lattices: int = 60) -> list[tuple]:
+    rng = random.Random(seed)
+    return [(None if k == 5 else k, a := rng.randrange(6), a + rng.randint(1, 2), rng.randint(10, 90) / 10, rng.choice("ab")) for k in range(lattices) for _ in range(rng.randint(1, 7))]
+
+
+LATTICE = "lattice_id long, start long, stop long, cost double, cls string"
+
+
+def test_groups_go_on_across_batches(spark):
+    rows = [(k, v, None if v % 5 == 0 else f"w{v % 3}") for k in (None, 0, -1, 7, 9) for v in range(40 if k == 7 else 3)]
+    df = spark.createDataFrame(rows, "k long, v long, s string").repartition(5)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 4, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = grouping.per_group(df, "k", ["v", "s"], lambda g: [(len(g), float(sum(v for v, _ in g)), "".join(sorted(s or "-" for _, s in g)))], "n long, t double, s string").collect()
+            assert {r[0]: tuple(r)[1:] for r in got} == {k: (len(o), float(sum(v for v, _ in o)), "".join(sorted(s or "-" for _, s in o))) for k in (None, 0, -1, 7, 9) if (o := [r[1:] for r in rows if r[0] == k])}
+            assert len(got) == 5 and sum(r["n"] for r in got) == len(rows)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_tasks_grow_in_number_with_the_files(spark, monkeypatch):
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    monkeypatch.setattr(grouping, "TASK_BYTES", 1000)
+    assert grouping.by_key(li, "l_orderkey").rdd.getNumPartitions() > 50
+    assert grouping._tasks(spark.createDataFrame([(1,)], "k long")) == 0
+
+
+def test_beams_shuffle_the_edges_once_and_make_the_model_once(spark):
+    edges, made = spark.createDataFrame(_lattice_rows(3), LATTICE), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    grams = [(p + q, c, (ord(p) * 7 + ord(q) * 3 + ord(c)) % 11 / 7) for p in "_ab" for q in "_ab" for c in "ab"]
+    model = spark.createDataFrame(grams, "prefix string, ch string, neglogp double").coalesce(1)
+    out = lattice.beam_search(edges, model.mapInArrow(counted, model.schema), 3, 20, bridge=10.0)
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert made.value == len(grams)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    table = {p: {c: x for q, c, x in grams if q == p} for p, _, _ in grams}
+    want = []
+    for k in {r[0] for r in _lattice_rows(3)}:
+        own = [r[1:] for r in _lattice_rows(3) if r[0] == k]
+        own += [(n, n + 1, 10.0, "") for n in range(min(e[0] for e in own), max(e[1] for e in own)) if not any(e[:2] == (n, n + 1) for e in own)]
+        want.append((k, *lattice.beam(own, table, 3, 20, 15.0, 1.0)))
+    assert got == sorted(want, key=str)
+
+
+def test_counts_of_batches_with_few_and_many_characters(spark):
+    rng = random.Random(4)
+    every = [chr(c) for c in [*range(1, 0x300), *range(0x2000, 0x2100), 0x1F600, 0xE000]]
+    lines = ["", "ab", None, *("".join(rng.choices("ab c", k=rng.randrange(30))) for _ in range(300)), *("".join(rng.choices(every, k=80)) for _ in range(60))]
+    for part in (lines[:200], lines):
+        df = spark.createDataFrame([(x,) for x in part], "line string").coalesce(1)
+        for digits in (False, True):
+            assert [text.folded(r[0], digits) for r in df.where("line is not null").collect()] == [r[0] for r in df.where("line is not null").select(text.fold_for_model(F.col("line"), digits)).collect()]
+            want = Counter()
+            for x in part:
+                if x is not None and len(x) >= 3:
+                    s = "__" + text.folded(x, digits) + "__"
+                    want.update((s[i : i + 2], s[i + 2]) for i in range(len(s) - 3))
+            assert {(r["prefix"], r["ch"]): r["n"] for r in ngrams.counts(df, 3, digits=digits).collect()} == want
