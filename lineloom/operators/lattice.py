@@ -14,42 +14,68 @@ from lineloom.operators.grouping import per_group
 
 #: A model of more n-graphs isn't sent to every task.
 MODEL_ROWS = 1_000_000
+EDGE = "start long, stop long, cost double, cls string"
+_SPACES = re.compile(r"\s+", re.ASCII)
 SEGMENT = re.compile(r"^segment\s+(\d+)\s+(\d+):(\d+)\s+(\d+):(\d+):(\d+):(\d+)(?:\s+(\S+)\s+(\S+))?")
 
 
+def edges_of(lines: Iterable[str | None]) -> list[tuple[int | None, int | None, float | None, str]]:
+    """A lattice's edges (start, stop, cost, cls) from its text lines in their order."""
+    out, span = [], (None, None)
+    for line in lines:
+        if line is None:
+            continue
+        if line.startswith("segment "):
+            f = _SPACES.split(line)
+            ends = f[2].split(":") if len(f) > 2 else None
+            span = span if ends is None else (int(ends[0]), int(ends[1]) + 1 if len(ends) > 1 else None)
+        elif line.startswith("chr "):
+            f = _SPACES.split(line)
+            out.append((*span, float(f[3]) if len(f) > 3 and f[3] != "null" else None, f[4] if len(f) > 4 else ""))
+    return out
+
+
+def lines_of(edges: list[tuple[int, int, float, str]]) -> list[tuple[int, str]]:
+    """(pos, line) of a lattice: a segment line for every pair of ends, in their order, and its edges by cost as chr lines."""
+    spans: dict[tuple[int, int], list] = {}
+    for a, b, c, s in edges:
+        spans.setdefault((a, b), []).append((c, s or ""))
+    out = []
+    for i, (a, b) in enumerate(sorted(spans)):
+        out.append((i << 20, f"segment {i} {a}:{b - 1} 0:0:0:0"))
+        out += [((i << 20) + j, f"chr {i} {j - 1} {'null' if c is None else repr(c)} {s}") for j, (c, s) in enumerate(sorted(spans[a, b], key=lambda e: (e[0] is not None, e)), 1)]
+    return out
+
+
 def read_lattices(lines: DataFrame) -> DataFrame:
     """Edges from text lines (lattice_id, pos, line) of "segment i first:last ... sp0 sp1" and "chr i j cost cls".
 
     A chr line belongs to the last segment line before it; the class may be missing ("" is epsilon).
     """
-    f = F.split("line", r"\s+")
-    at = Window.partitionBy("lattice_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    is_segment = F.col("line").startswith("segment ")
-    span = F.last(F.when(is_segment, F.get(f, F.lit(2))), ignorenulls=True).over(at)
-    rows = lines.withColumn("span", span).where(F.col("line").startswith("chr "))
-    ends = F.split("span", ":")
-    return rows.select("lattice_id", F.get(ends, F.lit(0)).cast("long").alias("start"), (F.get(ends, F.lit(1)).cast("long") + 1).alias("stop"), F.get(f, F.lit(3)).cast("double").alias("cost"), F.coalesce(F.get(f, F.lit(4)), F.lit("")).alias("cls"))
+    return per_group(lines, "lattice_id", ["pos", "line"], lambda group: edges_of(line for _, line in sorted(group, key=lambda g: (g[0] is not None, g))), EDGE)
+
+
+def lattice_lines(edges: DataFrame, bridge: float | None = None) -> DataFrame:
+    """(lattice_id, pos, line) of each lattice; bridge as of shortest_paths."""
+    return _per_lattice(edges, lambda group: lines_of(group if bridge is None else bridged(group, bridge)), "pos long, line string")
 
 
-def lattice_lines(edges: DataFrame) -> DataFrame:
-    """(lattice_id, pos, line): a segment line for every pair of ends, in their order, and its edges by cost as chr lines."""
-    spans = edges.groupBy("lattice_id", "start", "stop").agg(F.array_sort(F.collect_list(F.struct("cost", "cls"))).alias("e"))
-    i = F.row_number().over(Window.partitionBy("lattice_id").orderBy("start", "stop")) - 1
-    segment = F.format_string("segment %d %d:%d 0:0:0:0", "i", "start", F.col("stop") - 1)
-    chars = F.transform("e", lambda x, j: F.concat_ws(" ", F.lit("chr"), F.col("i").cast("string"), j.cast("string"), x["cost"].cast("string"), x["cls"]))
-    made = spans.withColumn("i", i).select("lattice_id", "i", F.posexplode(F.concat(F.array(segment), chars)).alias("j", "line"))
-    return made.select("lattice_id", (F.col("i") * (1 << 20) + F.col("j")).alias("pos"), "line")
+def round_trip(edges: DataFrame, bridge: float | None = None) -> DataFrame:
+    """read_lattices of lattice_lines: a lattice's lines are written and read where its edges are, so no line is moved or sorted again."""
+    return _per_lattice(edges, lambda group: edges_of(line for _, line in lines_of(group if bridge is None else bridged(group, bridge))), EDGE)
 
 
 def bridged(edges: list[tuple[int, int, float, str]], cost: float = 10.0) -> list[tuple[int, int, float, str]]:
     """A lattice's edges with an epsilon edge from node to node wherever it has none, so that its end can be reached."""
-    have = {(e[0], e[1]) for e in edges}
-    return edges + [(k, k + 1, cost, "") for k in range(min(e[0] for e in edges), max(e[1] for e in edges)) if (k, k + 1) not in have]
+    have = {(a, b) for a, b, _, _ in edges if a is not None and b is not None}
+    if not have:
+        return edges
+    return edges + [(k, k + 1, cost, "") for k in range(min(a for a, _ in have), max(b for _, b in have)) if (k, k + 1) not in have]
 
 
 def connected(edges: DataFrame, cost: float = 10.0) -> DataFrame:
     """edges with all lattices bridged; searches do that themselves where they are told the cost."""
-    return _per_lattice(edges, lambda group: bridged(group, cost), "start long, stop long, cost double, cls string")
+    return _per_lattice(edges, lambda group: bridged(group, cost), EDGE)
 
 
 def _per_lattice(edges: DataFrame, f: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:

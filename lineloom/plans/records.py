@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lineloom.functions.geometry import Rect
 from lineloom.operators import lattice, records
 from lineloom.plans.layout import BOXES_SQL, _boxes
-from lineloom.plans.models import _edges
+from lineloom.plans.models import BRIDGE, _edges
 from lineloom.plans.registry import query
 from lineloom.plans.text import _table
 
@@ -89,7 +89,7 @@ _LINES = "SELECT l_orderkey AS lattice_id, l_linenumber - 1 AS start, l_linenumb
 @query(f"SELECT lattice_id, start, stop, cost, cls FROM ({_LINES}) UNION ALL SELECT lattice_id, start, start + 1, 10.0, '' FROM (SELECT lattice_id, unnest(range(min(start), max(stop))) AS start FROM ({_LINES}) GROUP BY lattice_id) s WHERE NOT EXISTS (SELECT 1 FROM ({_LINES}) e WHERE e.lattice_id = s.lattice_id AND e.start = s.start AND e.stop = s.start + 1)")
 def lattice_round_trip(spark, sf):
     """Lattices written as text lines and read from them again."""
-    return lattice.read_lattices(lattice.lattice_lines(lattice.connected(_edges(spark, sf))))
+    return lattice.round_trip(_edges(spark, sf), bridge=BRIDGE)
 
 
 @query(f"SELECT lattice_id, start, count(*) AS n, list(stop ORDER BY stop, cls) AS stops FROM ({_LINES}) GROUP BY lattice_id, start")

@@ -227,3 +227,16 @@ def test_counts_of_batches_with_few_and_many_characters(spark):
                     s = "__" + text.folded(x, digits) + "__"
                     want.update((s[i : i + 2], s[i + 2]) for i in range(len(s) - 3))
             assert {(r["prefix"], r["ch"]): r["n"] for r in ngrams.counts(df, 3, digits=digits).collect()} == want
+
+
+def test_round_trip_moves_and_sorts_the_edges_only(spark):
+    rows = _lattice_rows(7) + [(90, 2, 3, None, "a"), (90, 2, 3, 1e-7, "b"), (90, 6, 7, 1e22, ""), (90, 2, 3, 0.1 + 0.2, "a")]
+    edges = spark.createDataFrame(rows, LATTICE).repartition(3)
+    out = lattice.round_trip(edges, bridge=10.0)
+    bridged = lattice.connected(edges)
+    want = Counter(map(tuple, bridged.collect()))
+    assert Counter(map(tuple, out.collect())) == want and Counter(map(tuple, lattice.read_lattices(lattice.lattice_lines(bridged).repartition(5)).collect())) == want
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Window" not in plan and plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
+    lines = [r["line"] for r in lattice.lattice_lines(edges.where("lattice_id = 90")).orderBy("pos").collect()]
+    assert lines == ["segment 0 2:2 0:0:0:0", "chr 0 0 null a", "chr 0 1 1e-07 b", "chr 0 2 0.30000000000000004 a", "segment 1 6:6 0:0:0:0", "chr 1 0 1e+22 "]
