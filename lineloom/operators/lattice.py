@@ -90,10 +90,24 @@ def with_space_edges(edges: DataFrame, cost: str = "space_cost") -> DataFrame:
 
 
 def best_path(edges: list[tuple[int, int, float, str]], start: int, end: int) -> tuple[float, str] | None:
-    """(cost, text) of the cheapest path, by Dijkstra from the end; of equal costs the smaller text. None: no way.
+    """(cost, text) of the cheapest path, found from the end; of equal costs the smaller text. None: no way.
 
-    Costs are above 0. Going backwards, the smaller rest is the smaller text whatever comes before it.
+    Costs are above 0. Going backwards, the smaller rest is the smaller text whatever comes before it. Where all edges go
+    forward, as a lattice's do, nodes are settled in their order; else by Dijkstra.
     """
+    best: dict[int, tuple[float, str]] = {end: (0.0, "")}
+    for a, b, c, s in sorted(edges, reverse=True):  # a node's own edges come after those of all later nodes
+        if b <= a:
+            return _dijkstra(edges, start, end)
+        rest = best.get(b)
+        if rest and a != end:
+            way = (round(rest[0] + c, 9), s + rest[1])
+            if a not in best or way < best[a]:
+                best[a] = way
+    return best.get(start)
+
+
+def _dijkstra(edges: list[tuple[int, int, float, str]], start: int, end: int) -> tuple[float, str] | None:
     into: dict[int, list] = {}
     for a, b, c, s in edges:
         into.setdefault(b, []).append((a, c, s))

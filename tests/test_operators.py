@@ -72,6 +72,21 @@ def test_cheapest_path_with_ties():
     assert lattice.best_path(edges, 0, 2) == (2.0, "ab") and lattice.best_path(edges, 2, 0) is None
 
 
+def test_forward_lattices_need_no_heap_and_bridged_paths_one_shuffle(spark, monkeypatch):
+    rng = random.Random(12)
+    cases = [[(a := rng.randrange(6), a + rng.randint(1, 3), rng.randint(1, 9) / 10, rng.choice(("a", "b", "", "ab"))) for _ in range(rng.randint(1, 12))] for _ in range(500)]
+    ends = [(min(e[0] for e in g), max(e[1] for e in g)) for g in cases]
+    want = [lattice._dijkstra(g, *x) for g, x in zip(cases, ends, strict=True)]
+    assert None in want and lattice.best_path([(0, 1, 1.0, "a"), (1, 0, 1.0, "b"), (1, 2, 1.0, "c")], 0, 2) == (2.0, "ac")
+    monkeypatch.setattr(lattice.heapq, "heappop", None)
+    assert [lattice.best_path(g, *x) for g, x in zip(cases, ends, strict=True)] == want and lattice.best_path(cases[0], 9, 9) == (0.0, "")
+    df = spark.createDataFrame([(k, *e) for k, g in enumerate(cases[:40]) for e in g], "lattice_id long, start long, stop long, cost double, cls string")
+    out = lattice.shortest_paths(df, bridge=10.0)
+    assert {tuple(r) for r in out.collect()} == {(k, *lattice.best_path(lattice.bridged(g), *x)) for k, (g, x) in enumerate(zip(cases[:40], ends[:40], strict=True))}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
 def test_files_are_written_below_the_folder_only(spark, tmp_path):
     rows = [("a/b.png", b"12"), ("../x", b"no"), ("/etc/x", b"no"), ("c.png", None)]
     got = files.write_files(spark.createDataFrame(rows, "name string, content binary"), f"file://{tmp_path}").collect()
