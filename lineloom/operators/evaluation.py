@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from lineloom.functions import edit, text
 RATIO = lambda a, b: F.round(F.try_divide(a, b), 6)
 
 
+#: First members of a group whose pairs are counted first, and the most groups for which that is done.
+FREQUENT, MOST_GROUPS = 500, 1000
+
+
 def pair_up(gt: DataFrame, out: DataFrame, on: list[str]) -> DataFrame:
     """gt with the output's text beside it: its columns, gt, pred and missing; no output counts as the empty text."""
     joined = gt.withColumnRenamed("text", "gt").join(out.withColumnRenamed("text", "pred"), on, "left")
@@ -60,6 +66,31 @@ def top_counts_per(counts: DataFrame, group: list[str], k: int, *tie: str) -> Da
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def top_pairs_per(pairs: DataFrame, group: str, a: str, b: str, k: int) -> DataFrame:
+    """(group, a, b, n, rank): the k most frequent pairs (a, b) of every group, of strings of which none is null.
+
+    A pair is no more frequent than its a, so pairs of the FREQUENT most frequent a of a group are counted first. Where the
+    k-th of them is more frequent than any other a, no other pair can be among the k; groups where it isn't, or that have
+    fewer, are counted in full, as all are when there are more than MOST_GROUPS.
+    """
+    ranked = top_counts_per(merge_counts(pairs, group, a), [group], FREQUENT + 1, a).select(group, a, "n", "rank")
+    found = ranked.limit(MOST_GROUPS * (FREQUENT + 1) + 1).toArrow()
+    if found.num_rows > MOST_GROUPS * (FREQUENT + 1):
+        return top_counts_per(merge_counts(pairs, group, a, b), [group], k, a, b)
+    spark, first = pairs.sparkSession, pc.less_equal(found["rank"], FREQUENT)
+    rest = {r[group]: r["n"] for r in found.filter(pc.invert(first)).to_pylist()}  # no a that is left out is more frequent
+    frequent = spark.createDataFrame(found.filter(first).select([group, a]).rename_columns(["own", "word"]))
+    held = pairs.join(F.broadcast(frequent), F.col(group).eqNullSafe(F.col("own")) & (F.col(a) == F.col("word")), "left_semi")
+    top = top_counts_per(merge_counts(held, group, a, b), [group], k, a, b).select(group, a, b, "n", "rank").toArrow()
+    least = {r[group]: r["n"] for r in top.to_pylist() if r["rank"] == k}
+    open_ = [g for g, n in rest.items() if least.get(g, 0) <= n]
+    done = spark.createDataFrame(top.filter(pa.array([g not in open_ for g in top[group].to_pylist()], pa.bool_())))
+    if not open_:
+        return done
+    again = pairs.join(F.broadcast(spark.createDataFrame(pa.table({"own": pa.array(open_, found.schema.field(group).type)}))), F.col(group).eqNullSafe(F.col("own")), "left_semi")
+    return done.unionByName(top_counts_per(merge_counts(again, group, a, b), [group], k, a, b))
+
+
 def presence(gt: DataFrame, out: DataFrame, key: str) -> DataFrame:
     """Number of keys in both, only in gt, only in out; one pass over the union instead of three joins."""
     both = gt.select(key, F.lit(1).alias("g"), F.lit(0).alias("o")).unionAll(out.select(key, F.lit(0), F.lit(1))).groupBy(key).agg(F.max("g").alias("g"), F.max("o").alias("o"))

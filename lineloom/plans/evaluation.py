@@ -15,8 +15,9 @@ WORD = r"\p{L}+"
 def _word_pairs(spark, sf):
     """Each word of a document against the one before it: a truth and an output with the alignment known."""
     w = F.col("w")
-    docs = _table(spark, sf, "documents").select("doc_id", "lang", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w")).where(F.size("w") > 1)
-    pairs = docs.select("doc_id", "lang", F.explode(F.arrays_zip(F.slice(w, F.lit(1), F.size(w) - 1).alias("gt"), F.slice(w, F.lit(2), F.size(w) - 1).alias("pred"))).alias("x"))
+    rest = F.greatest(F.size(w) - 1, F.lit(0))  # a filter on the size would look for the words a second time
+    docs = _table(spark, sf, "documents").where("text is not null").select("doc_id", "lang", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w"))
+    pairs = docs.select("doc_id", "lang", F.explode(F.arrays_zip(F.slice(w, F.lit(1), rest).alias("gt"), F.slice(w, F.lit(2), rest).alias("pred"))).alias("x"))
     return pairs.select("doc_id", "lang", F.col("x.gt").alias("gt"), F.col("x.pred").alias("pred"))
 
 
@@ -82,8 +83,7 @@ def top_confusions(spark, sf):
 
 @query(f"WITH c AS (SELECT lang, gt, pred, count(*) AS n FROM ({PAIRS_SQL}) WHERE gt <> pred GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gt, pred) AS rank FROM c) SELECT lang, gt, pred, n, rank FROM r WHERE rank <= 20")
 def top_word_confusions_per_lang(spark, sf):
-    counts = ev.merge_counts(_word_pairs(spark, sf).where("gt <> pred"), "lang", "gt", "pred")
-    return ev.top_counts_per(counts, ["lang"], 20, "gt", "pred").select("lang", "gt", "pred", "n", "rank")
+    return ev.top_pairs_per(_word_pairs(spark, sf).where("gt <> pred"), "lang", "gt", "pred", 20)
 
 
 @query("SELECT count(*) FILTER (WHERE l.doc_id IS NOT NULL AND d.doc_id IS NOT NULL) AS in_both, count(*) FILTER (WHERE l.doc_id IS NULL) AS gt_only, count(*) FILTER (WHERE d.doc_id IS NULL) AS out_only FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lineloom.functions import text
-from lineloom.operators import grouping, imaging, lattice, ngrams, records, segmentation, sequence, vectors
+from lineloom.operators import evaluation, grouping, imaging, lattice, ngrams, records, segmentation, sequence, vectors
 from lineloom.operators.nearest import Trie, rounded
 from lineloom.plans import catalog
 
@@ -240,3 +240,35 @@ def test_round_trip_moves_and_sorts_the_edges_only(spark):
     assert "Window" not in plan and plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
     lines = [r["line"] for r in lattice.lattice_lines(edges.where("lattice_id = 90")).orderBy("pos").collect()]
     assert lines == ["segment 0 2:2 0:0:0:0", "chr 0 0 null a", "chr 0 1 1e-07 b", "chr 0 2 0.30000000000000004 a", "segment 1 6:6 0:0:0:0", "chr 1 0 1e+22 "]
+
+
+@pytest.mark.parametrize("frequent, most", [(1, 1000), (4, 1000), (1000, 1000), (4, 0)])
+def test_most_frequent_pairs_are_exact_whether_certified_or_counted_in_full(spark, monkeypatch, frequent, most):
+    rng = random.Random(9)
+    word = lambda: f"w{min(rng.randrange(1, 40), rng.randrange(1, 40), rng.randrange(1, 40))}"
+    rows = [(rng.choice(["a", "b", None]), word(), word()) for _ in range(4000)] + [("flat", f"x{i}", f"y{i}") for i in range(30)] + [("rare", "x", "y")]
+    monkeypatch.setattr(evaluation, "FREQUENT", frequent)
+    monkeypatch.setattr(evaluation, "MOST_GROUPS", most)
+    counts, counted, merge = Counter(rows), [], evaluation.merge_counts
+    monkeypatch.setattr(evaluation, "merge_counts", lambda df, *by: counted.append(by) or merge(df, *by))
+    want = set()
+    for g in {r[0] for r in rows}:
+        best = sorted(((*r, n) for r, n in counts.items() if r[0] == g), key=lambda r: (-r[3], r[1], r[2]))[:5]
+        want |= {(*r, i + 1) for i, r in enumerate(best)}
+    got = evaluation.top_pairs_per(spark.createDataFrame(rows, "lang string, gt string, pred string"), "lang", "gt", "pred", 5)
+    assert got.columns == ["lang", "gt", "pred", "n", "rank"] and {tuple(r) for r in got.collect()} == want
+    assert len(counted) == (2 if frequent == 1000 or most == 0 else 3)
+    none = spark.createDataFrame([], "lang string, gt string, pred string")
+    assert evaluation.top_pairs_per(none, "lang", "gt", "pred", 5).collect() == []
+
+
+def test_words_are_looked_for_once(spark, tmp_path):
+    texts = [None, "", "one", "one two", "é ß1ß x_y", "12 34"]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    df = catalog.QUERIES["top_word_confusions_per_lang"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert {tuple(r) for r in df.collect()} == set(con.execute(catalog.ORACLES["top_word_confusions_per_lang"]).fetchall())
+    from lineloom.plans.evaluation import _word_pairs
+
+    assert _word_pairs(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
